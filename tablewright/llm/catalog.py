@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, sharding, url_rules
+from . import html_text, line_dedup, packing, quality, sharding, token_files, url_rules
 from .common import table
 
 
 def queries() -> dict:
     return {
+        "op3_html_text": lambda spark, d: html_text.digest(table(spark, d, "pages")),
+        "op4_best_fit_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
+        "op5_fertility_rules": lambda spark, d: quality.digest(table(spark, d, "documents")),
+        "op6_token_files": lambda spark, d: token_files.digest(table(spark, d, "documents")),
         "op7_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
         "op8_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
         "op10_url_rules": lambda spark, d: url_rules.digest(table(spark, d, "pages")),
