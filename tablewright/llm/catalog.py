@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, line_dedup, packing, quality, sharding, token_files, url_rules
+from . import html_text, line_dedup, near_dup, packing, quality, sharding, token_files, url_rules
 from .common import table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_token_files": lambda spark, d: token_files.digest(table(spark, d, "documents")),
         "op7_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
         "op8_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
+        "op9_bag_minhash": lambda spark, d: near_dup.digest(table(spark, d, "documents")),
         "op10_url_rules": lambda spark, d: url_rules.digest(table(spark, d, "pages")),
     }
 
