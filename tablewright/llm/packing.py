@@ -140,6 +140,7 @@ def ranked(found: DataFrame) -> DataFrame:
 
     key = ["length", "doc_id", "piece", "ids_crc32"]
     schema = PIECES + ", within long, range int"
+    found = settle(found, "pieces")  # the range sampling would encode every text once more
     return settle(found.repartitionByRange(*key).sortWithinPartitions(*key).mapInPandas(number, schema), "ranked")
 
 

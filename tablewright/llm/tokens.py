@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 END_ID = 2
-MOST_KEPT = 400_000
+MOST_KEPT = 800_000
 #: The pre-token pattern of the byte-level vocabularies, for texts without other characters than PLAIN's.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]")
@@ -105,14 +105,14 @@ class Encoder:
             self._clear()
         number, at = self.memo.__getitem__, []
         for text in texts:
-            at.append(None if OTHER.search(text) else list(map(number, PIECES.findall(text))))
+            pieces = None if OTHER.search(text) else PIECES.findall(text)
+            at.append(None if pieces is None else np.fromiter(map(number, pieces), dtype=np.int64, count=len(pieces)))
         if self.memo.new:
             self._learn()
-        for text, x in zip(texts, at):
-            if x is None:
+        for text, where in zip(texts, at):
+            if where is None:
                 yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
                 continue
-            where = np.asarray(x, dtype=np.int64)
             sizes = self.size[where]
             ends = np.cumsum(sizes)
             yield self.ids[np.repeat(self.start[where] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
