@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import html_text, line_dedup, near_dup, packing, quality, sharding, token_files, url_rules
+from . import decontaminate, html_text, line_dedup, near_dup, packing, quality, sharding, token_files, toxicity, url_rules
 from .common import table
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": lambda spark, d: decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op2_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
         "op3_html_text": lambda spark, d: html_text.digest(table(spark, d, "pages")),
         "op4_best_fit_packing": lambda spark, d: packing.pack_documents(table(spark, d, "documents")),
         "op5_fertility_rules": lambda spark, d: quality.digest(table(spark, d, "documents")),

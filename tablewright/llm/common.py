@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed byte classes used by several contracts: ASCII white space, and A-Z to lower case.
@@ -49,3 +51,10 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def column_values(batch: pa.RecordBatch, name: str, some: int = 256) -> Iterator:
+    """A column's values as Python objects, a few rows of them at a time."""
+    column = batch.column(name)
+    for at in range(0, len(column), some):
+        yield from column.slice(at, some).to_pylist()

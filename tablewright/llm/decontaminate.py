@@ -23,6 +23,7 @@ the best of their matches; repeated items are reported each.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import column_values
 from .near_dup import mix, word_hashes
 
 WORD = re.compile(r"\w+")
@@ -206,17 +208,17 @@ def blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
     return out
 
 
-_INDEXES: dict[int, Items] = {}
+_INDEXES: dict[str, Items] = {}
 
 
 def _search(spark: SparkSession, docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
-    shared = spark.sparkContext.broadcast(block)
+    shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.id not in _INDEXES:
+        if name not in _INDEXES:
             _INDEXES.clear()
-            _INDEXES[shared.id] = Items(shared.value)
-        index = _INDEXES[shared.id]
+            _INDEXES[name] = Items(shared.value)
+        index = _INDEXES[name]
         for batch in batches:
             rows, group, ids, held = [], [], [], 0
 
@@ -228,7 +230,7 @@ def _search(spark: SparkSession, docs: DataFrame, block: list[tuple[int, str]])
                 ids.clear()
                 held = 0
 
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), column_values(batch, "text")):
                 ids.append(doc)
                 group.append(text)
                 held += len(text or "")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import column_values, settle
 from .components import components
 
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -146,7 +146,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 group.clear()
                 held = 0
 
-            for text in batch.column("text").to_pylist():
+            for text in column_values(batch, "text"):
                 words = words_of(text)
                 nodes.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 group.append(shingle_hashes(word_hashes(words)))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import column_values, settle
 from .tokens import encoder, tokenizer_path
 
 SEQUENCE = 1024
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, most: int = SEQUENCE,
         tool = encoder(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), tool.documents(batch.column("text").to_pylist())):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), tool.documents(column_values(batch, "text"))):
                 raw = ids.astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), most)):
                     own = raw[start : start + length]

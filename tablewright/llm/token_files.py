@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, settle
+from .common import column_values, fresh_path, settle
 from .tokens import encoder, tokenizer_path
 
 SEQUENCE, BATCH_SEQUENCES = 1024, 256
@@ -118,7 +118,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, sequence: int =
             out = FileWriter(sink, dtype, sequence)
             for batch in batches:
                 at, sizes = [], []
-                for ids in encode.documents(batch.column("text").to_pylist()):
+                for ids in encode.documents(column_values(batch, "text")):
                     at.append(out.add(ids))
                     sizes.append(len(ids))
                 n = len(at)

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 END_ID = 2
-MOST_KEPT = 800_000
+MOST_KEPT = 250_000
 #: The pre-token pattern of the byte-level vocabularies, for texts without other characters than PLAIN's.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]")
@@ -87,7 +87,7 @@ class Encoder:
         self.start[at] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
 
-    def encode_some(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+    def encode_some(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids (uint32) of each text in turn; null counts as empty. Texts are taken in groups of about
         a million characters, so memory does not follow the batch."""
         group: list[str] = []
@@ -120,7 +120,7 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         return next(self.encode_some([text]))
 
-    def documents(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+    def documents(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text with the end id."""
         for ids in self.encode_some(texts):
             yield np.append(ids, np.uint32(END_ID))
