@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -211,14 +212,19 @@ def blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
 _INDEXES: dict[str, Items] = {}
 
 
+def _index(name: str, shared: Broadcast) -> Items:
+    """One index a worker process."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = Items(shared.value)
+    return _INDEXES[name]
+
+
 def _search(spark: SparkSession, docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
     shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _INDEXES:
-            _INDEXES.clear()
-            _INDEXES[name] = Items(shared.value)
-        index = _INDEXES[name]
+        index = _index(name, shared)
         for batch in batches:
             rows, group, ids, held = [], [], [], 0
 

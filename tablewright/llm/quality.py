@@ -143,6 +143,15 @@ def within(text: str, chars: float, share: float, entropy: float, bands: dict[st
 
 
 _MODELS: dict[str, Fertility] = {}
+
+
+def _model(path: str) -> Fertility:
+    """One model a worker process."""
+    if path not in _MODELS:
+        _MODELS[path] = Fertility(path)
+    return _MODELS[path]
+
+
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, byte_share double, entropy_share double"
 
 
@@ -153,12 +162,11 @@ def judge(docs: DataFrame, vocabulary: str | None = None, bands: dict[str, Band]
     docs = docs.drop(*names)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _MODELS:
-            _MODELS[vocabulary] = Fertility(vocabulary)
+        model = _model(vocabulary)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = []
-            for text, m in zip(texts, _MODELS[vocabulary].measure(texts)):
+            for text, m in zip(texts, model.measure(texts)):
                 found = base(text)
                 rows.append((*found, not found[-1] and within(text, *m, bands), *m))
             columns = list(zip(*rows)) if rows else [()] * len(names)

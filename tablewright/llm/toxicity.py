@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -364,6 +365,14 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
 _SCORERS: dict[str, Scorer] = {}
 
 
+def _scorer(name: str, shared: Broadcast) -> Scorer:
+    """One scorer a worker process: a module's function finds the module's own cache in every task."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(shared.value)
+    return _SCORERS[name]
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with held_out, score and predicted; columns of those names are replaced."""
     docs = docs.drop("held_out", "score", "predicted")
@@ -373,10 +382,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if name not in _SCORERS:
-                _SCORERS.clear()
-                _SCORERS[name] = Scorer(shared.value)
-            scorer = _SCORERS[name]
+            scorer = _scorer(name, shared)
             for batch in batches:
                 out, group, held = [], [], 0
                 for text in column_values(batch, "text"):
