@@ -16,7 +16,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """``edges`` (a, b) with a > b, each pair once. Large: a node's larger neighbours move to its least
     neighbour or itself; small: a node and its smaller neighbours move to the least of them."""
     if large:
-        both = settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         moved = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -41,3 +41,18 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     return stars.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+
+
+def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, comp) after more ``edges`` (a, b): only the graph of components is worked on."""
+    if labels is None:
+        return settle(components(edges), "labels")
+    named = edges
+    for end in ("a", "b"):
+        own = labels.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+        named = named.join(own, end, "left").withColumn(end, F.coalesce(f"{end}_comp", end)).drop(f"{end}_comp")
+    moved = settle(components(named.where(F.col("a") != F.col("b"))), "moved")
+    moved = moved.select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    known = labels.join(moved, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    fresh = moved.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("comp"))
+    return settle(known.unionByName(fresh), "labels")

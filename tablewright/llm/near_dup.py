@@ -7,12 +7,16 @@ point, and points are drawn in order of time only until no place could improve,
 little more than one point a shingle. Two places agree with the probability of the weighted Jaccard
 similarity. Signatures are cut into bands; documents that agree on a band share a bucket.
 
-Equal word sequences are one node. In each bucket one pivot is compared exactly with all other members.
-Weighted Jaccard distance is a metric, so two members whose distances to the pivot differ by more than
-the threshold's distance cannot be linked: members that could only be linked to their own component are
-done, and the others meet further pivots, four times as many each round, until no bucket has open pairs.
-So every pair in a bucket is either compared, excluded by the triangle inequality, or already connected;
-no step lists a bucket's pairs, and hot buckets, nodes and classes are split as skewed joins.
+Equal word sequences are one node. Bands are taken in a few phases: in each of its buckets a node that is
+not yet in the pivot's component is compared exactly with the pivot, the bucket's least node, and links
+found are merged before the next phase, so a group of many copies is soon one component and costs a
+comparison or two a node. Buckets that then still hold several components are worked through: all members
+are compared with the pivot, and as weighted Jaccard distance is a metric, two members whose distances to
+it differ by more than the threshold's distance cannot be linked. Members that could only be linked to
+their own component are done; the others meet further pivots, four times as many each round, until no
+bucket has open pairs. So every pair in a bucket is compared, excluded by the triangle inequality, or
+already connected; no step lists a bucket's pairs, and hot buckets, nodes and classes are split as skewed
+joins.
 
 Defined cases: texts without words (null, empty) form one class; texts of fewer than five words are one
 shingle; repeated rows are copies; a class is named by its least doc_id (null where no member has one);
@@ -31,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_values, settle
-from .components import components
+from .components import merged
 
 SHINGLE, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 32, 5
 PLACES = BANDS * ROWS
-GROUP_WORDS = 400_000
-MOST_KEPT = 400_000
+PHASES = ((0, 1), (1, 4), (4, 12), (12, BANDS))
+GROUP_WORDS = 200_000
+MOST_KEPT = 150_000
 WORD = re.compile(r"\w+")
 
 _U = np.uint64
@@ -184,7 +189,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         last, bag = None, None
         for batch in batches:
             distance, linked = [], []
-            for p, text_p, text_x in zip(*(batch.column(c).to_pylist() for c in ("p", "text_p", "text_x"))):
+            for p, text_p, text_x in zip(*(column_values(batch, c, 64) for c in ("p", "text_p", "text_x"))):
                 if p != last:
                     last, bag = p, bag_of(text_p)
                 inter, union = overlap(bag, bag_of(text_x))
@@ -195,30 +200,35 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return settle(both.select("p", "x", "text_p", "text_x").mapInArrow(compare, "p binary, x binary, distance double, linked boolean"), "compared")
 
 
-def _labelled(state: DataFrame, labels: DataFrame) -> DataFrame:
-    found = state.join(labels.withColumnRenamed("node", "x"), "x", "left")
-    return found.withColumn("comp", F.coalesce("comp", "x"))
+def _labelled(state: DataFrame, labels: DataFrame | None, node: str, comp: str) -> DataFrame:
+    """``state`` with the component of ``node``; one without links is its own."""
+    if labels is None:
+        return state.withColumn(comp, F.col(node))
+    own = labels.select(F.col("node").alias(node), F.col("comp").alias(comp))
+    return state.join(own, node, "left").withColumn(comp, F.coalesce(comp, node))
 
 
 def _open(state: DataFrame) -> DataFrame:
     """Members that could be linked to another component: their distance to the bucket's first pivot is
     in the same or a neighbouring step of the threshold's distance as that of a member of another one."""
     steps = range(-1, 7)
-    spans = state.groupBy("b").agg(*[f(F.when(F.col("step") == k, F.col("comp"))).alias(f"{n}{k + 1}") for k in steps for n, f in (("lo", F.min), ("hi", F.max))])
-    spans = settle(spans, "spans")
-    near = state.join(spans, "b")
+    spans = settle(state.groupBy("b").agg(*[f(F.when(F.col("step") == k, F.col("comp"))).alias(f"{n}{k + 1}") for k in steps for n, f in (("lo", F.min), ("hi", F.max))]), "spans")
     around = F.lit(False)
     for k in range(6):
         lows = F.least(*[F.col(f"lo{j + 1}") for j in (k - 1, k, k + 1)])
         highs = F.greatest(*[F.col(f"hi{j + 1}") for j in (k - 1, k, k + 1)])
         around = F.when(F.col("step") == k, lows != highs).otherwise(around)
-    return settle(near.where(around).select(*state.columns), "open")
+    return settle(state.join(spans, "b").where(around).select(*state.columns), "open")
 
 
-def links(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
-    """Verified links (a, b) that connect every class; None where no bucket has two members."""
+def _links(done: DataFrame) -> DataFrame:
+    return done.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
+
+
+def labels_of(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """(node, comp) of nodes with links; None where no bucket has two members."""
     nodes = settle(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("rep"), F.first("keys").alias("keys")), "nodes")
-    member = nodes.select(F.col("node").alias("x"), F.explode("keys").alias("b"))
+    member = nodes.select(F.col("node").alias("x"), F.posexplode("keys").alias("band", "b"))
     first = settle(member.groupBy("b").agg(F.min("x").alias("p"), F.count("*").alias("n")).where("n > 1").select("b", "p"), "pivots")
     state = settle(member.join(first, "b").where("x != p"), "members")
     if state.isEmpty():
@@ -229,34 +239,38 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     found = all_texts.join(wanted, all_texts["d"].eqNullSafe(wanted["doc_id"]) & (all_texts["m"] == wanted["mark"]))
     texts = settle(found.select("node", "text").dropDuplicates(["node"]), "texts")
 
-    done = compared(state.select("p", "x").distinct(), texts)
-    state = state.join(done, ["p", "x"]).select("b", "x", F.least(F.floor(F.col("distance") * 5 + 1e-9), F.lit(5)).cast("int").alias("step"), "distance")
-    state, edges, pivots = settle(state, "state"), done.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b")), 4
+    labels = None
+    for low, high in PHASES:
+        pairs = state.where((F.col("band") >= low) & (F.col("band") < high)).select("p", "x").distinct()
+        apart = _labelled(_labelled(settle(pairs, "pairs"), labels, "x", "x_comp"), labels, "p", "p_comp").where("x_comp != p_comp")
+        done = compared(settle(apart.select("p", "x"), "apart"), texts)
+        labels = merged(labels, _links(done))
+    whole = _labelled(state.select("b", "p", "x").unionByName(first.select("b", "p", F.col("p").alias("x"))), labels, "x", "comp")
+    spans = settle(whole.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("b"), "apart")
+    state = settle(state.select("b", "p", "x").join(spans, "b"), "left")
+    if state.isEmpty():
+        return labels
+    done = compared(settle(state.select("p", "x").distinct(), "pairs"), texts)
+    labels, pivots = merged(labels, _links(done)), 4
+    state = settle(state.join(done, ["p", "x"]).select("b", "x", F.least(F.floor(F.col("distance") * 5 + 1e-9), F.lit(5)).cast("int").alias("step"), "distance"), "state")
     while True:
-        labels = settle(components(edges), "labels")
-        state = _open(_labelled(state.drop("comp"), labels))
+        state = _open(_labelled(state, labels, "x", "comp"))
         if state.isEmpty():
-            return edges
+            return labels
         slot = F.pmod(F.xxhash64("x"), F.lit(pivots))
         chosen = settle(state.groupBy("b", slot.alias("slot")).agg(F.min(F.struct("x", "comp", "distance")).alias("s")).select("b", F.col("s.x").alias("p"), F.col("s.comp").alias("p_comp"), F.col("s.distance").alias("p_distance")), "chosen")
         meet = state.join(chosen, "b").where((F.col("comp") != F.col("p_comp")) & (F.abs(F.col("distance") - F.col("p_distance")) <= 0.2 + 1e-9))
-        pairs = settle(meet.select("p", "x").distinct(), "pairs")
-        done = compared(pairs, texts)
-        edges = settle(edges.unionByName(done.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))), "edges")
-        state = settle(state.join(chosen.select("b", F.col("p").alias("x")), ["b", "x"], "left_anti"), "state")
+        done = compared(settle(meet.select("p", "x").distinct(), "pairs"), texts)
+        labels = merged(labels, _links(done))
+        state = settle(state.drop("comp").join(chosen.select("b", F.col("p").alias("x")), ["b", "x"], "left_anti"), "state")
         pivots *= 4
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, class_id) of every row."""
     rows = signed(docs)
-    edges = links(docs, rows)
-    named = rows.select("doc_id", "mark", "node")
-    if edges is None:
-        named = named.withColumn("comp", F.col("node"))
-    else:
-        labels = settle(components(edges), "labels")
-        named = settle(named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
+    labels = labels_of(docs, rows)
+    named = settle(_labelled(rows.select("doc_id", "mark", "node"), labels, "node", "comp"), "named")
     least = settle(named.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "least")
     return named.join(least, "comp").select("doc_id", "mark", "class_id")
 
