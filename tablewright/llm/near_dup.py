@@ -10,13 +10,15 @@ similarity. Signatures are cut into bands; documents that agree on a band share
 Equal word sequences are one node. Bands are taken in a few phases: in each of its buckets a node that is
 not yet in the pivot's component is compared exactly with the pivot, the bucket's least node, and links
 found are merged before the next phase, so a group of many copies is soon one component and costs a
-comparison or two a node. Buckets that then still hold several components are worked through: all members
-are compared with the pivot, and as weighted Jaccard distance is a metric, two members whose distances to
-it differ by more than the threshold's distance cannot be linked. Members that could only be linked to
-their own component are done; the others meet further pivots, four times as many each round, until no
-bucket has open pairs. So every pair in a bucket is compared, excluded by the triangle inequality, or
-already connected; no step lists a bucket's pairs, and hot buckets, nodes and classes are split as skewed
-joins.
+comparison or two a node. Buckets that then still hold several components are worked through. In large
+ones the members outside a bucket's main component are the queries: they are searched in blocks, by an
+inverted index of their shingles that gives exact overlaps, against all members of buckets that hang
+together, in chunks; only links come out, not pairs. In small ones all members are compared with the pivot,
+and as weighted Jaccard distance is a metric, two members whose distances to it differ by more than the
+threshold's distance cannot be linked. Members that could only be linked to their own component are done;
+the others meet further pivots, four times as many each round, until no bucket has open pairs. So every
+pair in a bucket is compared, excluded by the triangle inequality, or already connected; no step lists a
+bucket's pairs, and hot buckets, nodes and classes are split as skewed joins.
 
 Defined cases: texts without words (null, empty) form one class; texts of fewer than five words are one
 shingle; repeated rows are copies; a class is named by its least doc_id (null where no member has one);
@@ -30,6 +32,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ SHINGLE, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 32, 5
 PLACES = BANDS * ROWS
 PHASES = ((0, 1), (1, 4), (4, 12), (12, BANDS))
+LARGE = 64
+CHUNK_ROWS, CHUNK_BYTES, BLOCK_ROWS, BLOCK_BYTES = 256, 2_000_000, 1024, 4_000_000
 GROUP_WORDS = 200_000
 MOST_KEPT = 150_000
 WORD = re.compile(r"\w+")
@@ -225,11 +230,68 @@ def _links(done: DataFrame) -> DataFrame:
     return done.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
 
 
+def search_block(group: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) between a block's queries and a chunk's members of other components, one for each query
+    and component. Overlaps come from an inverted index of the queries' shingles."""
+    queries, members = group[group["query"]], group[~group["query"]]
+    found = [bag_of(t) for t in queries["text"]]
+    sizes = np.array([c.sum() for _, c in found])
+    owner = np.repeat(np.arange(len(found)), [len(h) for h, _ in found])
+    hashes, counts = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts, owner = hashes[order], counts[order], owner[order]
+    q_node, q_comp = queries["node"].to_list(), queries["comp"].to_list()
+    out, seen = [], set()
+    for node, comp, text in zip(members["node"], members["comp"], members["text"]):
+        h, c = bag_of(text)
+        low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        inter = np.bincount(owner[at], np.minimum(counts[at], np.repeat(c, n)), len(sizes)).astype(np.int64)
+        linked = SIMILARITY[1] * inter >= SIMILARITY[0] * (sizes + int(c.sum()) - inter)
+        for q in np.flatnonzero(linked).tolist():
+            if q_comp[q] != comp and (q, comp) not in seen:
+                seen.add((q, comp))
+                out.append((q_node[q], node))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def block_links(large: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of different components in large buckets (b, p, x, comp)."""
+    held = large.groupBy("b", "comp").agg(F.count("*").alias("k"))
+    main = settle(held.groupBy("b").agg(F.max(F.struct("k", "comp")).alias("main")).select("b", "main.comp").withColumnRenamed("comp", "main"), "main")
+    queries = settle(large.join(main, "b").where("comp != main").select(F.col("x").alias("node")).distinct().withColumn("query", F.lit(True)), "queries")
+    together = merged(None, large.where("x != p").select(F.col("x").alias("a"), F.col("p").alias("b")).distinct()).withColumnRenamed("comp", "g")
+    comps = settle(large.select(F.col("x").alias("node"), "comp").distinct(), "comps")
+    members = comps.join(together, "node").join(texts, "node").join(queries, "node", "left").withColumn("query", F.coalesce("query", F.lit(False)))
+    members = settle(members, "members")
+    size, asked = F.octet_length("text"), F.col("query")
+    up = lambda x, y: F.ceil(x / F.lit(y)).cast("int")
+    shape = members.groupBy("g").agg(
+        F.greatest(up(F.count("*"), CHUNK_ROWS), up(F.sum(size), CHUNK_BYTES)).alias("chunks"),
+        F.greatest(up(F.sum(asked.cast("long")), BLOCK_ROWS), up(F.sum(F.when(asked, size)), BLOCK_BYTES), F.lit(1)).alias("blocks"),
+    )
+    shaped = members.join(settle(shape, "shape"), "g")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["g", "block", "chunk", "node", "comp", "text", "query"]
+    chunked = shaped.withColumn("chunk", place("chunks")).withColumn("block", each("blocks")).withColumn("query", F.lit(False))
+    asked_rows = shaped.where("query").withColumn("block", place("blocks")).withColumn("chunk", each("chunks"))
+    units = chunked.select(columns).unionByName(asked_rows.select(columns))
+    return settle(units.groupBy("g", "block", "chunk").applyInPandas(_search, "a binary, b binary"), "links")
+
+
+def _search(group: pd.DataFrame) -> pd.DataFrame:
+    if group["query"].all() or not group["query"].any():
+        return pd.DataFrame({"a": [], "b": []}, dtype=object)
+    return search_block(group)
+
+
 def labels_of(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     """(node, comp) of nodes with links; None where no bucket has two members."""
     nodes = settle(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("rep"), F.first("keys").alias("keys")), "nodes")
     member = nodes.select(F.col("node").alias("x"), F.posexplode("keys").alias("band", "b"))
-    first = settle(member.groupBy("b").agg(F.min("x").alias("p"), F.count("*").alias("n")).where("n > 1").select("b", "p"), "pivots")
+    first = settle(member.groupBy("b").agg(F.min("x").alias("p"), F.count("*").alias("n")).where("n > 1"), "pivots")
     state = settle(member.join(first, "b").where("x != p"), "members")
     if state.isEmpty():
         return None
@@ -245,9 +307,12 @@ def labels_of(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
         apart = _labelled(_labelled(settle(pairs, "pairs"), labels, "x", "x_comp"), labels, "p", "p_comp").where("x_comp != p_comp")
         done = compared(settle(apart.select("p", "x"), "apart"), texts)
         labels = merged(labels, _links(done))
-    whole = _labelled(state.select("b", "p", "x").unionByName(first.select("b", "p", F.col("p").alias("x"))), labels, "x", "comp")
+    whole = settle(_labelled(state.select("b", "p", "n", "x").unionByName(first.select("b", "p", "n", F.col("p").alias("x"))), labels, "x", "comp"), "whole")
     spans = settle(whole.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("b"), "apart")
-    state = settle(state.select("b", "p", "x").join(spans, "b"), "left")
+    large = settle(whole.where(F.col("n") > LARGE).join(spans, "b"), "large")
+    if not large.isEmpty():
+        labels = merged(labels, block_links(large, texts))
+    state = settle(state.where(F.col("n") <= LARGE).select("b", "p", "x").join(spans, "b"), "left")
     if state.isEmpty():
         return labels
     done = compared(settle(state.select("p", "x").distinct(), "pairs"), texts)
