@@ -127,11 +127,12 @@ def on_grid(value: Column, tolerance: float) -> Column:
 
 
 def canonical_float(value: Column, tolerance: float = 0.0) -> Column:
-    """Shortest decimal text, in the canonical grammar. Common magnitudes skip the general rendering."""
-    text = on_grid(value, tolerance).cast("string")
-    plain = text.rlike(r"^-?[0-9]{1,7}\.[0-9]{1,10}$")
-    short = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
-    return F.when(plain, F.when(short == "-0", "0").otherwise(short)).otherwise(canonical_number(text))
+    """Shortest decimal text, in the canonical grammar. From a thousandth up to ten million the text of a
+    number is plain and has a zero at its end only as ``.0``; others take the general rendering."""
+    placed = on_grid(value, tolerance)
+    text, size = placed.cast("string"), F.abs(placed)
+    short = F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
+    return F.when(size == 0, "0").when((size >= 0.001) & (size < 1e7), short).otherwise(canonical_number(text))
 
 
 # -- time ------------------------------------------------------------------------------------------
@@ -285,12 +286,15 @@ def tag(family: str, options: Options = Options()) -> int:
     return fam.TAGS[fam.DATETIME] if family == fam.TIMESTAMP and options.tz_swap else fam.TAGS[family]
 
 
-def tlv(value: Column, info: fam.TypeInfo, kind: T.DataType, options: Options = Options()) -> Column:
+def framed(body: Column, family: str, options: Options = Options()) -> Column:
     """Tag, length and payload; null is the null tag alone."""
-    body = payload(value, info, kind, options)
     size = F.unhex(F.lpad(F.hex(F.octet_length(body).cast("long")), 16, "0"))
-    full = F.concat(F.lit(bytes([tag(info.family, options)])), size, body)
-    return F.when(value.isNull(), F.lit(bytes([fam.NULL_TAG]))).otherwise(full)
+    full = F.concat(F.lit(bytes([tag(family, options)])), size, body)
+    return F.when(body.isNull(), F.lit(bytes([fam.NULL_TAG]))).otherwise(full)
+
+
+def tlv(value: Column, info: fam.TypeInfo, kind: T.DataType, options: Options = Options()) -> Column:
+    return framed(payload(value, info, kind, options), info.family, options)
 
 
 def canonical_row(columns: Sequence[tuple[Column, fam.TypeInfo, T.DataType]], options: Options = Options()) -> Column:
@@ -298,13 +302,17 @@ def canonical_row(columns: Sequence[tuple[Column, fam.TypeInfo, T.DataType]], op
     return F.concat(F.lit(b""), *[tlv(c, info, kind, options) for c, info, kind in columns])
 
 
-def row_hash(row: Column, kind: str = "xxhash64") -> Column:
-    """A 64-bit hash of a canonical row as a long: fast, or the first half of its MD5."""
+def payload_hash(payloads: Sequence[tuple[Column, str]], kind: str = "xxhash64", options: Options = Options()) -> Column:
+    """A 64-bit hash of a canonical row as a long, from payloads and their families. The fast one chains
+    tags, lengths and payloads without putting them together; the other is the first half of the MD5 of
+    the row's bytes."""
     if kind == "xxhash64":
-        return F.xxhash64(row)
+        parts = [x for body, family in payloads for x in (F.when(body.isNull(), F.lit(fam.NULL_TAG)).otherwise(F.lit(tag(family, options))), F.coalesce(F.octet_length(body), F.lit(-1)), body)]
+        return F.xxhash64(*parts)
     if kind != "md5":
         raise ValueError(f"no such hash: {kind}")
-    high, low = (F.conv(F.substring(F.md5(row), at, 8), 16, 10).cast("long") for at in (1, 9))
+    digest = F.md5(F.concat(F.lit(b""), *[framed(body, family, options) for body, family in payloads]))
+    high, low = (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9))
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 

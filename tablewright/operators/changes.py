@@ -9,18 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import Options, row_hash
+from ..functions.canonical import Options, payload_hash
 from ..plans.schema import TableSchema
 from ..sources.shared import fixed
 from . import digest
-from .diff import canonical_of
+from .diff import canonical_of, payload_key, staged
 
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
 
 
 def _canonical(df: DataFrame, schema: TableSchema, key: list[str], options: Options) -> DataFrame:
-    canon = canonical_of(df, schema, options)
-    return df.withColumn("__key", canonical_of(df, schema, options, key)).withColumn("__h", row_hash(canon))
+    ready, at = staged(df, schema, options)
+    parts = [(F.col(c), family) for c, family in at.values()]
+    made = ready.withColumns({"__key": payload_key(at, key), "__h": payload_hash(parts, options=options)})
+    return made.drop(*[c for c, _ in at.values()])
 
 
 def _groups(df: DataFrame, side: str) -> DataFrame:

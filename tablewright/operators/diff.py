@@ -63,9 +63,24 @@ def canonical_of(df: DataFrame, schema: TableSchema, options: Options, names: li
     return canonical.canonical_row(chosen, options)
 
 
+def staged(df: DataFrame, schema: TableSchema, options: Options = Options()) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
+    """``df`` with the canonical payload of every column of ``schema`` as a column of its own, so that each
+    is computed once, and where: name -> (column, family)."""
+    listed = schemas.kinds(df, schema)
+    at = {n: (f"__p{i}", info.family) for i, (n, info, _) in enumerate(listed)}
+    return df.withColumns({at[n][0]: canonical.payload(F.col(f"`{n}`"), info, kind, options) for n, info, kind in listed}), at
+
+
+def payload_key(at: dict[str, tuple[str, str]], names: list[str]) -> Column:
+    """Canonical payloads of some columns as one comparable value."""
+    return F.struct(*[F.col(at[n][0]).alias(f"k{i}") for i, n in enumerate(names)])
+
+
 def hashed(df: DataFrame, schema: TableSchema, options: Options = Options(), kind: str = "xxhash64") -> DataFrame:
     """``df`` with h, the hash of each canonical row."""
-    return df.withColumn("h", canonical.row_hash(canonical_of(df, schema, options), kind))
+    ready, at = staged(df, schema, options)
+    parts = [(F.col(c), family) for c, family in at.values()]
+    return ready.withColumn("h", canonical.payload_hash(parts, kind, options)).drop(*[c for c, _ in at.values()])
 
 
 def counts(src: DataFrame, dst: DataFrame) -> DataFrame:
@@ -74,33 +89,47 @@ def counts(src: DataFrame, dst: DataFrame) -> DataFrame:
 
 
 def _side(df: DataFrame, schema: TableSchema, key: list[str], options: Options, side: str) -> DataFrame:
-    columns = schemas.kinds(df, schema)
-    shown = F.concat_ws(" | ", *[canonical.display(F.col(f"`{n}`"), info, kind) for n, info, kind in columns])
-    key_shown = F.concat_ws(" | ", *[canonical.display(F.col(f"`{n}`"), info, kind) for n, info, kind in columns if n in key])
-    return df.select(canonical_of(df, schema, options, key).alias(f"{side}_key"), canonical_of(df, schema, options).alias(f"{side}_row"), key_shown.alias(f"{side}_shown_key"), shown.alias(f"{side}_shown"))
+    ready, at = staged(df, schema, options)
+    listed = {n: (info, kind) for n, info, kind in schemas.kinds(df, schema)}
+    rest = [n for n in listed if n not in key]
+    raw = F.struct(*[F.col(f"`{n}`") for n in listed])
+    return ready.select(payload_key(at, key).alias(f"{side}_key"), payload_key(at, rest or key).alias(f"{side}_row"), raw.alias(f"{side}_raw"))
+
+
+def shown(raw: Column, schema: TableSchema, types: dict, names: list[str]) -> Column:
+    return F.concat_ws(" | ", *[canonical.display(raw[n], schema.column(n).info, types[n]) for n in names])
 
 
 def row_diff(src: DataFrame, dst: DataFrame, src_schema: TableSchema, dst_schema: TableSchema, key: list[str], options: Options = Options()) -> DataFrame:
     """(kind, key, src, dst) of rows that differ, for a key that is unique on both sides. Keys are matched
-    by their canonical bytes, whole, so nulls match nulls and no key is too long."""
+    by their canonical payloads, whole, so nulls match nulls and no key is too long; only rows that differ
+    are rendered."""
     a, b = _side(src, src_schema, key, options, "src"), _side(dst, dst_schema, key, options, "dst")
     joined = a.join(b, F.col("src_key") == F.col("dst_key"), "full_outer")
     kind = F.when(F.col("dst_key").isNull(), MISSING_DST).when(F.col("src_key").isNull(), MISSING_SRC).when(F.col("src_row") != F.col("dst_row"), CHANGED)
-    return joined.withColumn("kind", kind).where(F.col("kind").isNotNull()).select("kind", F.coalesce("src_shown_key", "dst_shown_key").alias("key"), F.col("src_shown").alias("src"), F.col("dst_shown").alias("dst"))
+    found = joined.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    types = [{n: k for n, _, k in schemas.kinds(df, s)} for df, s in ((src, src_schema), (dst, dst_schema))]
+    left, right = F.col("src_raw"), F.col("dst_raw")
+    keys = F.when(left.isNull(), shown(right, dst_schema, types[1], key)).otherwise(shown(left, src_schema, types[0], key))
+    rows = [F.when(raw.isNotNull(), shown(raw, s, t, s.names)) for raw, s, t in ((left, src_schema, types[0]), (right, dst_schema, types[1]))]
+    return found.select("kind", keys.alias("key"), rows[0].alias("src"), rows[1].alias("dst"))
 
 
 def multiset_diff(src: DataFrame, dst: DataFrame, src_schema: TableSchema, dst_schema: TableSchema, options: Options = Options()) -> DataFrame:
     """(kind, row, src_n, dst_n) of canonical rows whose multiplicity differs; rows are counted map-side
-    before they are exchanged, so repeated rows cost one."""
+    before they are exchanged, so repeated rows cost one, and only those that differ are rendered."""
 
     def counted(df: DataFrame, schema: TableSchema, flag: int) -> DataFrame:
-        shown = F.concat_ws(" | ", *[canonical.display(F.col(f"`{n}`"), info, kind) for n, info, kind in schemas.kinds(df, schema)])
-        return df.select(canonical_of(df, schema, options).alias("canon"), shown.alias("shown"), F.lit(1 - flag).cast("long").alias("s"), F.lit(flag).cast("long").alias("d"))
+        ready, at = staged(df, schema, options)
+        return ready.select(*[F.col(c) for c, _ in at.values()], F.lit(1 - flag).cast("long").alias("s"), F.lit(flag).cast("long").alias("d"))
 
-    both = counted(src, src_schema, 0).unionByName(counted(dst, dst_schema, 1)).groupBy("canon")
-    folded = both.agg(F.min("shown").alias("row"), F.sum("s").alias("src_n"), F.sum("d").alias("dst_n")).where("src_n != dst_n")
+    left = counted(src, src_schema, 0)
+    names = [c for c in left.columns if c not in ("s", "d")]
+    folded = left.unionByName(counted(dst, dst_schema, 1)).groupBy(*names).agg(F.sum("s").alias("src_n"), F.sum("d").alias("dst_n")).where("src_n != dst_n")
     kind = F.when(F.col("dst_n") == 0, MISSING_DST).when(F.col("src_n") == 0, MISSING_SRC).otherwise(COUNT_DIFF)
-    return folded.select(kind.alias("kind"), "row", "src_n", "dst_n")
+    binary = {"BYTES"}
+    row = F.concat_ws(" | ", *[F.coalesce(F.concat(F.lit("0x"), F.lower(F.hex(n))) if c.family in binary else F.col(n).cast("string"), F.lit("NULL")) for n, c in zip(names, src_schema.columns)])
+    return folded.select(kind.alias("kind"), row.alias("row"), "src_n", "dst_n")
 
 
 def prepare(src: DataFrame, dst: DataFrame, a: TableSchema, b: TableSchema, spec: Spec) -> tuple[DataFrame, DataFrame, TableSchema, TableSchema, bool, list[str]]:

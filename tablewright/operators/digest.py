@@ -22,20 +22,32 @@ def unsigned(h: Column) -> Column:
 
 
 def square(h: Column) -> Column:
-    """The square of a 64-bit number modulo 2^64, by halves, as it would not fit otherwise."""
-    low = h.bitwiseAND(F.lit(TWO_32 - 1)).cast("decimal(20,0)")
-    high = F.shiftrightunsigned(h, 32).cast("decimal(20,0)")
-    cross = F.pmod(high * low * _big(2).cast("decimal(1,0)"), _big(TWO_32)).cast("decimal(10,0)") * F.lit(TWO_32).cast("decimal(10,0)")
-    return F.pmod((low * low).cast("decimal(38,0)") + cross.cast("decimal(38,0)"), _big(TWO_64)).cast("decimal(20,0)")
-
-
-def modular_sum(value: Column) -> Column:
-    return F.pmod(F.sum(value.cast("decimal(28,0)")).cast("decimal(38,0)"), _big(TWO_64)).cast("decimal(20,0)")
+    """The square of 64 bits modulo 2^64, as a long's bits: halves and quarters keep every product and sum
+    within a long, so there is neither overflow nor a decimal a row."""
+    low32, low16 = F.lit(TWO_32 - 1), F.lit(0xFFFF).cast("long")
+    a, b = h.bitwiseAND(low32), F.shiftrightunsigned(h, 32)
+    a0, a1 = a.bitwiseAND(low16), F.shiftrightunsigned(a, 16)
+    middle = a0 * a1 * 2
+    low = a0 * a0 + F.shiftleft(middle.bitwiseAND(low16), 16)
+    cross = (a0 * b + F.shiftleft((a1 * b).bitwiseAND(low16), 16)) * 2
+    high = (F.shiftrightunsigned(low, 32) + F.shiftrightunsigned(middle, 16) + a1 * a1 + cross).bitwiseAND(low32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(low32))
+
+
+def modular_sum(bits: Column) -> Column:
+    """The sum modulo 2^64 of longs' bits. They are added in pieces of 24 bits, which a long holds for
+    2^39 rows a group, and put together once a group."""
+    low24 = F.lit((1 << 24) - 1).cast("long")
+    pieces = [F.sum(F.shiftrightunsigned(bits, 24 * k).bitwiseAND(low24)).cast("decimal(20,0)") for k in range(3)]
+    total = pieces[0].cast("decimal(38,0)")
+    for k in (1, 2):
+        total = total + (pieces[k] * F.lit(str(1 << 24 * k)).cast("decimal(18,0)")).cast("decimal(38,0)")
+    return F.pmod(total, _big(TWO_64)).cast("decimal(20,0)")
 
 
 def statistics(h: Column) -> list[Column]:
     """Count, sum, exclusive or and sum of squares of row hashes."""
-    return [F.count("*").alias("n"), modular_sum(unsigned(h)).alias("sum_h"), unsigned(F.bit_xor(h)).alias("xor_h"), modular_sum(square(h)).alias("sumsq_h")]
+    return [F.count("*").alias("n"), modular_sum(h).alias("sum_h"), unsigned(F.bit_xor(h)).alias("xor_h"), modular_sum(square(h)).alias("sumsq_h")]
 
 
 def chunk_digests(hashed: DataFrame) -> DataFrame:
@@ -55,9 +67,9 @@ def table_fingerprint(digests: DataFrame, secure: bool = False) -> DataFrame:
     """(n, fingerprint) of unordered digests: the same however rows were cut into chunks."""
     folded = digests.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.coalesce(modular_sum(F.col("sum_h")), F.lit(0).cast("decimal(20,0)")).alias("s"),
+        F.coalesce(modular_sum(signed(F.col("sum_h"))), F.lit(0).cast("decimal(20,0)")).alias("s"),
         F.coalesce(F.bit_xor(signed(F.col("xor_h"))), F.lit(0).cast("long")).alias("x"),
-        F.coalesce(modular_sum(F.col("sumsq_h")), F.lit(0).cast("decimal(20,0)")).alias("q"),
+        F.coalesce(modular_sum(signed(F.col("sumsq_h"))), F.lit(0).cast("decimal(20,0)")).alias("q"),
     )
     text = F.concat_ws(":", F.col("n").cast("string"), F.col("s").cast("string"), unsigned(F.col("x")).cast("string"), F.col("q").cast("string"))
     return folded.select("n", F.substring(F.md5(text.cast("binary")), 1, 32 if secure else 16).alias("fingerprint"))

@@ -140,6 +140,10 @@ def row_diff_null_key(spark, d):
     return diff.row_diff(src, dst, s, s, ["s_suppkey"]).select("kind", "key")
 
 
+def _number(column: str) -> str:
+    return rf"regexp_replace(CAST({column} AS VARCHAR), '\.0$', '')"
+
+
 LINE = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
 
 
@@ -148,7 +152,7 @@ LINE = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l
   FROM (SELECT {', '.join(LINE)}, 1 AS s, 0 AS t FROM lineitem UNION ALL SELECT {', '.join(LINE)}, 0, 1 FROM dst) GROUP BY ALL
 )
 SELECT CASE WHEN dst_n = 0 THEN 'MISSING_IN_DST' WHEN src_n = 0 THEN 'MISSING_IN_SRC' ELSE 'COUNT_DIFF' END AS kind,
-       CAST(src_n AS BIGINT) AS src_n, CAST(dst_n AS BIGINT) AS dst_n, concat_ws(' | ', {', '.join(f'CAST({c} AS VARCHAR)' for c in LINE)}) AS row
+       CAST(src_n AS BIGINT) AS src_n, CAST(dst_n AS BIGINT) AS dst_n, concat_ws(' | ', {', '.join(_number(c) for c in LINE)}) AS row
 FROM counted WHERE src_n <> dst_n""")
 def multiset_diff(spark, d):
     src, dst, s = lines_pair(spark, d)
@@ -282,10 +286,6 @@ def _tlv(tag: int, text: str, column: str) -> str:
     return f"CASE WHEN {column} IS NULL THEN unhex('00') ELSE {full} END"
 
 
-def _number(column: str) -> str:
-    return rf"regexp_replace(CAST({column} AS VARCHAR), '\.0$', '')"
-
-
 def _orders_row() -> str:
     return " || ".join([_tlv(1, _number("o_orderkey"), "o_orderkey"), _tlv(1, _number("o_custkey"), "o_custkey"), _tlv(13, "rtrim(o_orderstatus)", "o_orderstatus"), _tlv(1, _number("o_totalprice"), "o_totalprice"), _tlv(8, "CAST(o_orderdate AS VARCHAR)", "o_orderdate"), _tlv(13, "rtrim(o_orderpriority)", "o_orderpriority")])
 
