@@ -52,7 +52,7 @@ class IntegerPlan:
         wide = F.col(self.column).cast("decimal(20,0)") - F.lit(self.lo).cast("decimal(20,0)")
         place = F.floor(wide / F.lit(self.step).cast("decimal(20,0)"))
         # a chunk owns (lower, upper]; its first key is lo + k x step
-        return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(self.chunks - 1), place)), F.lit(0)).cast("long")
+        return F.when(F.col(self.column).isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit(self.chunks - 1), place))).cast("long")
 
     def bounds(self) -> list[tuple[int, int, int]]:
         """(id, first key, last key) of every chunk."""
