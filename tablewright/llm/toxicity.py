@@ -358,7 +358,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
         if len({label for _, label in rows}) == 2:
             yield pa.record_batch([pa.array([pickle.dumps(Trainer(rows).train())], pa.binary())], names=["model"])
 
-    made = training_rows(docs, labels).coalesce(1).mapInArrow(train, "model binary").collect()  # one model, or none
+    made = training_rows(docs, labels).repartition(1).mapInArrow(train, "model binary").collect()  # one model, or none
     return pickle.loads(made[0]["model"]) if made else None
 
 
