@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, settle
 
 #: The rules of the query's contract (host, path prefix, verdict).
 RULES = [
@@ -103,7 +103,7 @@ def judge(pages: DataFrame, listed: DataFrame) -> DataFrame:
         F.max(F.when(F.col("is_rule"), F.struct(F.char_length(name).alias("len"), name.alias("rule"), F.col("e_verdict").alias("verdict")))).alias("best"),
         F.bool_or(~F.col("is_rule")).alias("on_list"),
     )
-    judged = placed.join(best, ["host", "path"], "left")
+    judged = placed.join(settle(best, "judged"), ["host", "path"], "left")  # written, so that a hot URL is split
     verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("on_list"), "block"), F.lit("allow"))
     return judged.withColumns({"rule": F.col("best.rule"), "verdict": verdict}).select(*placed.columns, "rule", "verdict")
 
