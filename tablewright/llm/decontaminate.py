@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,10 +116,18 @@ def edit_distance(item: list[str], text: list[str]) -> tuple[int, int]:
 
 
 class Items:
-    """An index over one block of items: vocabularies and LSH tables for each window size."""
+    """An index over one block of items: their words' numbers, and LSH tables for each window size. Words
+    that no item has count as one word, as none of them equals an item's."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.items = [(i, words_of(t)) for i, t in rows]
+        self.distinct = [set(words) for _, words in self.items]
+        self.number: dict[str, int] = {}
+        for _, words in self.items:
+            for w in words:
+                self.number.setdefault(w, len(self.number))
+        self.other = len(self.number)
+        self.hashes = np.append(word_hashes(list(self.number)), _U(1))
         self.by_size: dict[int, dict] = {}
         sizes: dict[int, list[int]] = {}
         for k, (_, words) in enumerate(self.items):
@@ -126,32 +135,28 @@ class Items:
                 sizes.setdefault(window_size(len(words)) if len(words) >= LEAST_WORDS else len(words), []).append(k)
         for size, members in sorted(sizes.items()):
             edits = max(most_edits(len(self.items[k][1])) for k in members)
-            prefixes = [word_hashes(self.items[k][1][:size]) for k in members]
+            flat, starts = np.concatenate([self.numbers(self.items[k][1][:size]) for k in members]), np.arange(len(members)) * size
+            known = np.zeros(self.other + 1, dtype=bool)
+            known[flat] = True
             tables = []
-            flat, starts = np.concatenate(prefixes), np.arange(len(members)) * size
             for seed in range(WALKS):
-                found = keys_of(flat, starts, size, seed)
+                found = keys_of(self.hashes[flat], starts, size, seed)
                 for t in range(TABLES):
                     order = np.argsort(found[:, t], kind="stable")
                     tables.append((found[order, t], np.asarray(members)[order]))
-            self.by_size[size] = {"edits": edits, "words": np.unique(flat), "tables": tables}
-        self.vocabulary = np.unique(np.concatenate([x["words"] for x in self.by_size.values()] or [np.zeros(0, _U)]))
-        for index in self.by_size.values():  # by number in the whole vocabulary; the last number is any other word
-            index["known"] = np.append(np.isin(self.vocabulary, index["words"]), False)
-
-    def candidates(self, words: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
-        """(start, item, size) of windows that share a key with an item; ``words`` are the documents'
-        hashes one after another, ``ends`` is for each position the end of its document."""
-        out: set[tuple[int, int, int]] = set()
-        if not len(self.vocabulary):
-            return out
-        number = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        number[self.vocabulary[number] != words] = len(self.vocabulary)
-        known = np.zeros(len(words) + 1, dtype=np.int32)
-        places = np.arange(len(words))
+            self.by_size[size] = {"edits": edits, "known": known, "tables": tables}
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        get, other = self.number.get, self.other
+        return np.array([get(w, other) for w in words], dtype=np.int64)
+
+    def candidates(self, number: np.ndarray, ends: np.ndarray) -> Counter:
+        """(start, item) of windows that share keys with an item, and how many they share; ``number`` are
+        the documents' words one after another, ``ends`` is for each position its document's end."""
+        out: Counter = Counter()
+        words = self.hashes[number]
+        known, places = np.zeros(len(number) + 1, dtype=np.int32), np.arange(len(number))
         for size, index in self.by_size.items():
-            if len(words) < size - index["edits"]:
-                continue
             np.cumsum(index["known"][number], out=known[1:])
             starts = np.flatnonzero(known[np.minimum(places + size, ends)] - known[:-1] >= size - index["edits"])
             for at in range(0, len(starts), 50_000):
@@ -165,34 +170,37 @@ class Items:
                         for h in hit.tolist():
                             key, k = found[h, t], int(low[h])
                             while k < len(keys) and keys[k] == key:
-                                out.add((int(some[h]), int(owners[k]), size))
+                                out[int(some[h]), int(owners[k])] += 1
                                 k += 1
         return out
 
 
 def matches(index: Items, texts: list[str | None]) -> list[dict[int, tuple[int, int, int]]]:
-    """For each text, item -> (edits, first word, words) of its best match."""
+    """For each text, item -> (edits, first word, words) of its best match. Candidates that share most
+    keys are verified first; the others of a document and item that matched without an edit are not."""
     out: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
     split = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in split], dtype=np.int64)
-    if sizes.sum() == 0:
+    if sizes.sum() == 0 or not index.by_size:
         return out
-    hashes = np.concatenate([word_hashes(w) for w in split])
+    number = np.concatenate([index.numbers(w) for w in split])
     ends = np.cumsum(sizes)
-    tried: set[tuple[int, int, int]] = set()
-    for start, k, _ in sorted(index.candidates(hashes, np.repeat(ends, sizes))):
+    found = index.candidates(number, np.repeat(ends, sizes))
+    for start, k in sorted(found, key=lambda c: (-found[c], c)):
         d = int(np.searchsorted(ends, start, side="right"))
         at = start - int(ends[d] - sizes[d])
         item, words = index.items[k]
         edits = most_edits(len(words))
-        if out[d].get(item, (edits + 1,))[0] == 0 or (d, k, at) in tried:
+        best = out[d].get(item, (edits + 1,))
+        if best[0] == 0:
             continue
-        tried.add((d, k, at))
         first = max(0, at - edits)
         stretch = split[d][first : at + len(words) + edits]
-        found, end = edit_distance(words, stretch)
-        if found <= edits and found < out[d].get(item, (edits + 1,))[0]:
-            out[d][item] = (found, at, max(first + end - at, 0))
+        if len(index.distinct[k].difference(stretch)) > edits:
+            continue  # every word that is missing costs an edit
+        n, end = edit_distance(words, stretch)
+        if n <= edits and (n, at) < best[:2]:
+            out[d][item] = (n, at, max(first + end - at, 0))
     return out
 
 
