@@ -15,9 +15,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 END_ID = 2
-MOST_KEPT = 250_000
+MOST_KEPT = 350_000
 #: The pre-token pattern of the byte-level vocabularies, for texts without other characters than PLAIN's.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+PIECES = re.compile(r" ?[^\W\d_]+| ?\d+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]")
 
 
