@@ -107,8 +107,11 @@ def canonical_number(text: Column) -> Column:
 
 
 def canonical_decimal(value: Column, kind: T.DataType) -> Column:
-    """Decimals of at most 18 digits need only lose the zeros at their end."""
+    """Integers are canonical as they are; decimals of at most 18 digits need only lose the zeros at their
+    end."""
     text = value.cast("string")
+    if isinstance(kind, T.IntegralType):
+        return text
     if isinstance(kind, T.DecimalType) and kind.precision <= 18:
         if kind.scale == 0:
             return text
@@ -165,8 +168,7 @@ def canonical_time(micros: Column) -> Column:
 
 def canonical_datetime(value: Column) -> Column:
     """Date, time and as much of the fraction as there is."""
-    micros = F.date_format(value, "SSSSSS").cast("long")
-    return F.concat(F.date_format(value, "yyyy-MM-dd HH:mm:ss"), _fraction(micros))
+    return value.cast("string")
 
 
 # -- text, bits, documents -------------------------------------------------------------------------

@@ -189,7 +189,9 @@ def compare(name: str, src: DataFrame, dst: DataFrame, a: TableSchema, b: TableS
             left, right = (x.withColumn("chunk_id", F.lit(0).cast("long")) for x in (src, dst))
             result.chunks = int(result.src_rows > 0)
         left, right = hashed(left, a, spec.options, spec.hash), hashed(right, b, spec.options, spec.hash)
-        ours, theirs = (fixed(digest.chunk_digests(x)) for x in (left, right))
+        both = [x.select(F.lit(side).alias("side"), "chunk_id", "h") for x, side in ((left, "src"), (right, "dst"))]
+        digests = fixed(both[0].unionByName(both[1]).groupBy("side", "chunk_id").agg(*digest.statistics(F.col("h"))))  # both sides in one job
+        ours, theirs = (digests.where(F.col("side") == side).drop("side") for side in ("src", "dst"))
         result.src_fp, result.dst_fp = (digest.table_fingerprint(x, spec.secure).first()["fingerprint"] for x in (ours, theirs))
         result.diff_chunks = fixed(digest.differing(ours, theirs))
         if not result.diff_chunks.isEmpty():
