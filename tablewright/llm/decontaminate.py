@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_values
+from .common import column_values, settle
 from .near_dup import mix, word_hashes
 
 WORD = re.compile(r"\w+")
@@ -204,17 +204,18 @@ def matches(index: Items, texts: list[str | None]) -> list[dict[int, tuple[int,
     return out
 
 
-def blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The query set in blocks of bounded size, in order of item_id."""
-    out: list[list[tuple[int, str]]] = [[]]
+def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The query set in blocks of bounded size, one at a time, in order of item_id; one empty block if
+    there are no items."""
+    block: list[tuple[int, str]] = []
     chars = 0
     for r in items.select("item_id", "text").where(F.length("text") > 0).orderBy("item_id", "text").toLocalIterator():
-        if len(out[-1]) >= BLOCK_ITEMS or chars > BLOCK_CHARS:
-            out.append([])
-            chars = 0
-        out[-1].append((r["item_id"], r["text"]))
+        if len(block) >= BLOCK_ITEMS or chars > BLOCK_CHARS:
+            yield block
+            block, chars = [], 0
+        block.append((r["item_id"], r["text"]))
         chars += len(r["text"])
-    return out
+    yield block
 
 
 _INDEXES: dict[str, Items] = {}
@@ -260,11 +261,15 @@ def _search(spark: SparkSession, docs: DataFrame, block: list[tuple[int, str]])
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, first_word, n_words): each document and item that match, at their best."""
-    spark = docs.sparkSession
-    found = None
-    for block in blocks(items):
-        part = _search(spark, docs, block)
+    found, rest = None, blocks(items)
+    block = next(rest)
+    while block is not None:
+        following = next(rest, None)
+        part = _search(docs.sparkSession, docs, block)
+        if found is not None or following is not None:
+            part = settle(part, "leaks")  # the next block is read only when this one is done with
         found = part if found is None else found.unionByName(part)
+        block = following
     best = F.min(F.struct("edits", "first_word", "n_words")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .tokens import tokenizer_path
 
@@ -173,8 +174,7 @@ def judge(docs: DataFrame, vocabulary: str | None = None, bands: dict[str, Band]
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 3
             yield pa.record_batch([*batch.columns, *[pa.array(list(c), k) for c, k in zip(columns, kinds)]], names=[*batch.schema.names, *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(measure, f"{fields}, {MEASURES}")
+    return docs.mapInArrow(measure, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(MEASURES).fields]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

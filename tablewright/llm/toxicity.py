@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import column_values
 from .near_dup import mix
@@ -394,8 +395,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 out.append(scorer.scores(group))
                 yield pa.record_batch([*batch.columns, pa.array(np.concatenate(out))], names=[*batch.schema.names, "score"])
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        scored = docs.mapInArrow(read, f"{fields}, score double")
+        scored = docs.mapInArrow(read, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 

@@ -44,7 +44,8 @@ def test_verdicts(spark):
     rows = {r["doc_id"]: r for r in quality.judge(df).collect()}
     assert all(rows[i]["kept"] for i in range(5)) and not any(rows[i]["kept"] for i in range(5, 11))
     assert quality.digest(df.limit(0)).count() == 0
-    assert quality.judge(df.withColumnRenamed("kept", "odd name")).count() == 11
+    odd = quality.judge(df.withColumn("odd, name", df["kept"]))
+    assert odd.count() == 11 and odd.columns[:3] == ["doc_id", "text", "odd, name"]
 
 
 def test_fertility_of_bytes():

@@ -70,6 +70,9 @@ def test_learns_words_and_roots_and_scores_whole_texts(spark):
         assert 0 <= row["score"] <= 1 and row["predicted"] == (row["score"] >= 0.5)
     held = [d for d in docs if rows[d[0]]["held_out"]]
     assert np.mean([rows[d[0]]["predicted"] == d[2] for d in held]) > 0.9
+    odd = df.withColumn("odd: name", df["text"])
+    kept = t.without_toxic(odd, labels)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {d for d, r in rows.items() if not r["predicted"]}
     assert rows[1000]["predicted"] == 1 and rows[1001]["score"] == rows[1002]["score"] == rows[1003]["score"] == 0
 
 
