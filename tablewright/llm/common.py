@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,7 +51,22 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete settled tables that nothing reads any more, and let the driver collect what refers to them:
+    shuffle files stay on the executors' disks until it does."""
+    spark = None
+    for table in tables:
+        if table is not None and hasattr(table, "settled_at"):
+            spark = table.sparkSession
+            _remove(spark, table.settled_at)
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def column_values(batch: pa.RecordBatch, name: str, some: int = 256) -> Iterator:

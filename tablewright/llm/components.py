@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,7 +22,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         least = settle(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
         moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return settle(moved.distinct(), "star")
+    out = settle(moved.distinct(), "star")
+    discard(least, edges)
+    return out
 
 
 def _facts(edges: DataFrame) -> tuple:
@@ -30,7 +32,7 @@ def _facts(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for every node of ``edges`` (a, b); comp is the component's least node."""
+    """(node, comp) for every node of ``edges`` (a, b), written; comp is the component's least node."""
     turned = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     stars = settle(turned, "edges")
     before = _facts(stars)
@@ -40,19 +42,27 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    out = settle(stars.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "components")
+    discard(stars)
+    return out
 
 
 def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """``labels`` (node, comp) after more ``edges`` (a, b): only the graph of components is worked on."""
+    """``labels`` (node, comp) after more ``edges`` (a, b): only the graph of components is worked on. The
+    labels given are gone afterwards."""
     if labels is None:
-        return settle(components(edges), "labels")
+        return components(edges)
     named = edges
     for end in ("a", "b"):
         own = labels.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
         named = named.join(own, end, "left").withColumn(end, F.coalesce(f"{end}_comp", end)).drop(f"{end}_comp")
-    moved = settle(components(named.where(F.col("a") != F.col("b"))), "moved")
-    moved = moved.select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    between = settle(named.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "between")
+    if between.isEmpty():
+        return labels
+    graph = components(between)
+    moved = graph.select(F.col("node").alias("old"), F.col("comp").alias("new"))
     known = labels.join(moved, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
     fresh = moved.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("comp"))
-    return settle(known.unionByName(fresh), "labels")
+    out = settle(known.unionByName(fresh), "labels")
+    discard(labels, graph, between)
+    return out

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_values, settle
+from .common import column_values, discard, settle
 from .components import merged
 
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -223,7 +223,9 @@ def _open(state: DataFrame) -> DataFrame:
         lows = F.least(*[F.col(f"lo{j + 1}") for j in (k - 1, k, k + 1)])
         highs = F.greatest(*[F.col(f"hi{j + 1}") for j in (k - 1, k, k + 1)])
         around = F.when(F.col("step") == k, lows != highs).otherwise(around)
-    return settle(state.join(spans, "b").where(around).select(*state.columns), "open")
+    out = settle(state.join(spans, "b").where(around).select(*state.columns), "open")
+    discard(spans)
+    return out
 
 
 def _links(done: DataFrame) -> DataFrame:
@@ -261,24 +263,27 @@ def block_links(large: DataFrame, texts: DataFrame) -> DataFrame:
     held = large.groupBy("b", "comp").agg(F.count("*").alias("k"))
     main = settle(held.groupBy("b").agg(F.max(F.struct("k", "comp")).alias("main")).select("b", "main.comp").withColumnRenamed("comp", "main"), "main")
     queries = settle(large.join(main, "b").where("comp != main").select(F.col("x").alias("node")).distinct().withColumn("query", F.lit(True)), "queries")
-    together = merged(None, large.where("x != p").select(F.col("x").alias("a"), F.col("p").alias("b")).distinct()).withColumnRenamed("comp", "g")
+    hanging = merged(None, large.where("x != p").select(F.col("x").alias("a"), F.col("p").alias("b")).distinct())
+    together = hanging.withColumnRenamed("comp", "g")
     comps = settle(large.select(F.col("x").alias("node"), "comp").distinct(), "comps")
     members = comps.join(together, "node").join(texts, "node").join(queries, "node", "left").withColumn("query", F.coalesce("query", F.lit(False)))
     members = settle(members, "members")
     size, asked = F.octet_length("text"), F.col("query")
     up = lambda x, y: F.ceil(x / F.lit(y)).cast("int")
-    shape = members.groupBy("g").agg(
+    shape = settle(members.groupBy("g").agg(
         F.greatest(up(F.count("*"), CHUNK_ROWS), up(F.sum(size), CHUNK_BYTES)).alias("chunks"),
         F.greatest(up(F.sum(asked.cast("long")), BLOCK_ROWS), up(F.sum(F.when(asked, size)), BLOCK_BYTES), F.lit(1)).alias("blocks"),
-    )
-    shaped = members.join(settle(shape, "shape"), "g")
+    ), "shape")
+    shaped = members.join(shape, "g")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["g", "block", "chunk", "node", "comp", "text", "query"]
     chunked = shaped.withColumn("chunk", place("chunks")).withColumn("block", each("blocks")).withColumn("query", F.lit(False))
     asked_rows = shaped.where("query").withColumn("block", place("blocks")).withColumn("chunk", each("chunks"))
     units = chunked.select(columns).unionByName(asked_rows.select(columns))
-    return settle(units.groupBy("g", "block", "chunk").applyInPandas(_search, "a binary, b binary"), "links")
+    out = settle(units.groupBy("g", "block", "chunk").applyInPandas(_search, "a binary, b binary"), "links")
+    discard(main, queries, hanging, comps, members, shape)
+    return out
 
 
 def _search(group: pd.DataFrame) -> pd.DataFrame:
@@ -300,35 +305,47 @@ def labels_of(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
     all_texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("m"), "text")
     found = all_texts.join(wanted, all_texts["d"].eqNullSafe(wanted["doc_id"]) & (all_texts["m"] == wanted["mark"]))
     texts = settle(found.select("node", "text").dropDuplicates(["node"]), "texts")
+    discard(nodes, needed)
 
     labels = None
     for low, high in PHASES:
-        pairs = state.where((F.col("band") >= low) & (F.col("band") < high)).select("p", "x").distinct()
-        apart = _labelled(_labelled(settle(pairs, "pairs"), labels, "x", "x_comp"), labels, "p", "p_comp").where("x_comp != p_comp")
-        done = compared(settle(apart.select("p", "x"), "apart"), texts)
-        labels = merged(labels, _links(done))
+        pairs = settle(state.where((F.col("band") >= low) & (F.col("band") < high)).select("p", "x").distinct(), "pairs")
+        apart = settle(_labelled(_labelled(pairs, labels, "x", "x_comp"), labels, "p", "p_comp").where("x_comp != p_comp").select("p", "x"), "apart")
+        if not apart.isEmpty():
+            done = compared(apart, texts)
+            labels = merged(labels, _links(done))
+            discard(done)
+        discard(pairs, apart)
     whole = settle(_labelled(state.select("b", "p", "n", "x").unionByName(first.select("b", "p", "n", F.col("p").alias("x"))), labels, "x", "comp"), "whole")
-    spans = settle(whole.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("b"), "apart")
+    spans = settle(whole.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("b"), "spans")
     large = settle(whole.where(F.col("n") > LARGE).join(spans, "b"), "large")
+    left = settle(state.where(F.col("n") <= LARGE).select("b", "p", "x").join(spans, "b"), "left")
+    discard(whole, spans, state, first)
     if not large.isEmpty():
-        labels = merged(labels, block_links(large, texts))
-    state = settle(state.where(F.col("n") <= LARGE).select("b", "p", "x").join(spans, "b"), "left")
-    if state.isEmpty():
+        found = block_links(large, texts)
+        labels = merged(labels, found)
+        discard(found)
+    discard(large)
+    if left.isEmpty():
         return labels
-    done = compared(settle(state.select("p", "x").distinct(), "pairs"), texts)
-    labels, pivots = merged(labels, _links(done)), 4
-    state = settle(state.join(done, ["p", "x"]).select("b", "x", F.least(F.floor(F.col("distance") * 5 + 1e-9), F.lit(5)).cast("int").alias("step"), "distance"), "state")
+    pairs = settle(left.select("p", "x").distinct(), "pairs")
+    done, pivots = compared(pairs, texts), 4
+    labels = merged(labels, _links(done))
+    state = settle(left.join(done, ["p", "x"]).select("b", "x", F.least(F.floor(F.col("distance") * 5 + 1e-9), F.lit(5)).cast("int").alias("step"), "distance"), "state")
+    discard(pairs, done, left)
     while True:
-        state = _open(_labelled(state, labels, "x", "comp"))
-        if state.isEmpty():
+        held = _open(_labelled(state, labels, "x", "comp"))
+        if held.isEmpty():
             return labels
         slot = F.pmod(F.xxhash64("x"), F.lit(pivots))
-        chosen = settle(state.groupBy("b", slot.alias("slot")).agg(F.min(F.struct("x", "comp", "distance")).alias("s")).select("b", F.col("s.x").alias("p"), F.col("s.comp").alias("p_comp"), F.col("s.distance").alias("p_distance")), "chosen")
-        meet = state.join(chosen, "b").where((F.col("comp") != F.col("p_comp")) & (F.abs(F.col("distance") - F.col("p_distance")) <= 0.2 + 1e-9))
-        done = compared(settle(meet.select("p", "x").distinct(), "pairs"), texts)
+        chosen = settle(held.groupBy("b", slot.alias("slot")).agg(F.min(F.struct("x", "comp", "distance")).alias("s")).select("b", F.col("s.x").alias("p"), F.col("s.comp").alias("p_comp"), F.col("s.distance").alias("p_distance")), "chosen")
+        meet = held.join(chosen, "b").where((F.col("comp") != F.col("p_comp")) & (F.abs(F.col("distance") - F.col("p_distance")) <= 0.2 + 1e-9))
+        pairs = settle(meet.select("p", "x").distinct(), "pairs")
+        done = compared(pairs, texts)
         labels = merged(labels, _links(done))
-        state = settle(state.drop("comp").join(chosen.select("b", F.col("p").alias("x")), ["b", "x"], "left_anti"), "state")
-        pivots *= 4
+        rest = settle(held.drop("comp").join(chosen.select("b", F.col("p").alias("x")), ["b", "x"], "left_anti"), "state")
+        discard(state, held, chosen, pairs, done)
+        state, pivots = rest, pivots * 4
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -336,6 +353,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = signed(docs)
     labels = labels_of(docs, rows)
     named = settle(_labelled(rows.select("doc_id", "mark", "node"), labels, "node", "comp"), "named")
+    discard(rows, labels)
     least = settle(named.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "least")
     return named.join(least, "comp").select("doc_id", "mark", "class_id")
 
