@@ -128,3 +128,40 @@ def overlay(config: Config, given: dict[str, object]) -> Config:
 def masked(address: str) -> str:
     """A connection address without its password."""
     return re.sub(r"(//[^:/@\s]*:)[^@\s]*@", r"\1***@", address)
+
+
+@dataclass(frozen=True)
+class Address:
+    """A database endpoint, for JDBC sides."""
+
+    host: str
+    port: int
+    user: str
+    password: str
+    database: str
+
+    @property
+    def url(self) -> str:
+        return f"jdbc:mysql://{self.host}:{self.port}/{self.database}"
+
+    def options(self) -> dict[str, str]:
+        return {"user": self.user, "password": self.password}
+
+
+def parse_address(text: str, password: str | None = None, environment: dict[str, str] | None = None, password_variable: str = "") -> Address:
+    """``user[:password]@host[:port]/database``. A password given by itself wins over one in an environment
+    variable, and that over one in the text; passwords may hold any character, as the last @ ends them."""
+    before, at, after = text.rpartition("@")
+    place, slash, database = after.partition("/")
+    if not at or not slash or not database:
+        raise PlanError("an address is user[:password]@host[:port]/database", argument=True)
+    user, _, inline = before.partition(":")
+    if place.startswith("["):
+        host, _, rest = place[1:].partition("]")
+        port = rest.removeprefix(":")
+    else:
+        host, _, port = place.partition(":")
+    if not host or port and not port.isdigit():
+        raise PlanError(f"not a host and port: {place}", argument=True)
+    held = (os.environ if environment is None else environment).get(password_variable) if password_variable else None
+    return Address(host, int(port or 3306), user, next(p for p in (password, held, inline) if p is not None), database)

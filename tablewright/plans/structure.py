@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from ..functions import families as fam
@@ -149,3 +150,11 @@ def render_create(schema: TableSchema) -> str:
 def destructive(statement: str) -> bool:
     upper = statement.upper()
     return any(x in upper for x in ("DROP TABLE", "DROP COLUMN", "DROP PRIMARY KEY", "DROP INDEX"))
+
+
+def counter_of(create: str) -> int | None:
+    """The auto-increment counter of a CREATE TABLE statement's table options; None where there is none.
+    Quoted texts don't count, so a comment can't pass for one."""
+    plain = re.sub(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`""", "''", create, flags=re.S)
+    found = re.search(r"\bAUTO_INCREMENT\s*=\s*([0-9]+)", plain[plain.rfind(")") :], re.I)
+    return int(found[1]) if found else None

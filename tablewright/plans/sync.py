@@ -6,6 +6,7 @@ show, writes each table as one new version, and compares again.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -229,7 +230,10 @@ def _write_rows(src: Side, writer: Writer, now: TableSync, a: TableSchema, optio
 def plan_sync(src: Side, dst: Side, only: list[str] | None = None, exclude: list[str] | None = None, options: SyncOptions = SyncOptions()) -> list[TableSync]:
     """Plans of all tables; tables that only the destination has are dropped in a sync of everything."""
     wanted, drops = decide.sync_tables(src.tables(), dst.tables(), only or [], exclude or [], options.spec.where)
-    out = [plan_table(src, dst, t, options) for t in wanted]
+    out = []
+    for i, t in enumerate(wanted, 1):
+        progress(src, f"plan {t} ({i} of {len(wanted)})")
+        out.append(plan_table(src, dst, t, options))
     if options.sync_schema:
         out += [TableSync(t, decide.DROP, decide.PLANNED, dst_rows=dst.read(t).count(), schema_sql=[f"DROP TABLE {structure.quote_identifier(t)}"], scope=decide.Scope(ddl=True)) for t in drops]
     return out
@@ -256,7 +260,17 @@ def apply_sync(src: Side, dst: Side, plans: list[TableSync], options: SyncOption
 def compare_sides(src: Side, dst: Side, only: list[str] | None = None, exclude: list[str] | None = None, spec: diff.Spec = diff.Spec()) -> list[diff.TableResult]:
     """Compares the tables that both sides have."""
     names = decide.common_tables(src.tables(), dst.tables(), only or [], exclude or [])
-    return [diff.compare(t, src.read(t), dst.read(t), src.schema(t), dst.schema(t), spec) for t in names]
+    out = []
+    for i, t in enumerate(names, 1):
+        progress(src, f"diff {t} ({i} of {len(names)})")
+        out.append(diff.compare(t, src.read(t), dst.read(t), src.schema(t), dst.schema(t), spec))
+    return out
+
+
+def progress(side: Side, text: str) -> None:
+    """What is under way, on stderr and on Spark's job pages."""
+    side.spark.sparkContext.setJobDescription(text)
+    print(text, file=sys.stderr)
 
 
 def replan_stale(result: diff.TableResult, planned: list[int]) -> bool:

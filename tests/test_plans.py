@@ -153,3 +153,21 @@ def test_config():
         with pytest.raises(PlanError):
             config.from_yaml(bad, {})
     assert config.masked("jdbc:mysql://me:secret@host/db") == "jdbc:mysql://me:***@host/db"
+
+
+def test_addresses():
+    full = config.parse_address("me:p@ss:w/ord@db.host:3307/shop")
+    assert (full.user, full.password, full.host, full.port, full.database) == ("me", "p@ss:w/ord", "db.host", 3307, "shop")
+    assert full.url == "jdbc:mysql://db.host:3307/shop"
+    assert config.parse_address("me@h/d").port == 3306 and config.parse_address("me@h/d").password == ""
+    assert config.parse_address("me:a@h/d", "b").password == "b"
+    assert config.parse_address("me:a@h/d", None, {"PW": "c"}, "PW").password == "c"
+    assert config.parse_address("me@[::1]:99/d").host == "::1"
+    for bad in ("h/d", "me@h", "me@h:x/d", "me@h/"):
+        with pytest.raises(PlanError):
+            config.parse_address(bad)
+
+
+def test_counters():
+    assert structure.counter_of("CREATE TABLE `t` (`id` int AUTO_INCREMENT) ENGINE=InnoDB AUTO_INCREMENT=1500 COMMENT='x'") == 1500
+    assert structure.counter_of("CREATE TABLE `t` (`id` int COMMENT 'AUTO_INCREMENT=7') COMMENT='AUTO_INCREMENT=9'") is None
