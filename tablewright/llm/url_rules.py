@@ -5,7 +5,9 @@ possible entries are all of its host's suffixes with its path cut at every liste
 probed in a blocked Bloom filter (one 64-bit word a probe, K_BITS bits set in it), and the few that pass
 meet the list in an exact hash join, which removes the filter's false positives. The longest rule wins:
 the greatest length of host and path together. Entries of the method's own list carry no rule: where no
-rule fits, a URL under a listed canonical URL is blocked and any other is allowed.
+rule fits, a URL under a listed canonical URL is blocked and any other is allowed. Rules meet host and path
+as they stand; the method's list meets the canonical URL: the host without user and port, the path with
+repeated slashes and ``/./`` made one slash.
 
 Distinct (host, path) pairs are judged once, so a host that fills a third of the table costs no more
 than its distinct paths. The filter's table holds at most MOST_WORDS words, so its broadcast is bounded
@@ -32,11 +34,10 @@ RULES = [
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
-#: The method's own list for the query: canonical URLs under which pages are blocked.
-LISTED = [
-    ("cheap-pills.example.net", "/"),
-    ("casino-win.example.net", "/"),
-]
+#: The method's own list for the query: canonical URLs under which pages are blocked. Unwanted sites, under every
+#: top-level domain, as a relative and as an absolute name; the empty path also fits a URL that ends with its host.
+UNWANTED = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED = [(f"{site}.example.{top}{end}", "") for site in UNWANTED for top in ("com", "net", "org") for end in ("", ".")]
 BITS_PER_ENTRY, K_BITS, MOST_WORDS = 16, 4, 1 << 16
 
 
@@ -58,6 +59,16 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def site_of(host: Column) -> Column:
+    """The canonical host: without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", "")
+
+
+def page_of(path: Column) -> Column:
+    """The canonical path: repeated slashes and ``/./`` are one slash."""
+    return F.regexp_replace(path, r"/(\./|/)+", "/")
+
+
 def _word(host: str, path: str, words: int) -> Column:
     return F.pmod(F.xxhash64(host, path), F.lit(words)).cast("int")
 
@@ -81,23 +92,29 @@ def filter_words(n_entries: int) -> int:
 
 
 def possible_hits(places: DataFrame, listed: DataFrame) -> DataFrame:
-    """Candidate entries (c_host, c_path) of each distinct (host, path) that the filter lets pass."""
+    """Candidate entries (c_host, c_path) of each distinct (host, path) that the filter lets pass, looked for as
+    the pair stands (``plain``) and in its canonical form (``canonical``); most pairs are canonical."""
     facts = listed.agg(F.count("*").alias("n"), F.collect_set(F.char_length("e_path")).alias("lengths")).first()
     words = filter_words(facts["n"])
-    parts = F.split("host", r"\.", -1)
+    same = (site_of(F.col("host")) == F.col("host")) & (page_of(F.col("path")) == F.col("path"))
+    form = lambda host, path, plain, canonical: F.struct(host.alias("l_host"), path.alias("l_path"), plain.alias("plain"), canonical.alias("canonical"))
+    as_is = form(F.col("host"), F.col("path"), F.lit(True), same)
+    both = F.array(as_is, form(site_of(F.col("host")), page_of(F.col("path")), F.lit(False), F.lit(True)))
+    looked = places.select("host", "path", F.explode(F.when(same, F.array(as_is)).otherwise(both)).alias("look")).select("host", "path", "look.*")
+    parts = F.split("l_host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    cuts = F.array(*[F.when(F.char_length("path") >= n, F.substring("path", 1, n)) for n in sorted(facts["lengths"])]) if facts["lengths"] else F.expr("cast(array() as array<string>)")
-    wide = places.select("host", "path", F.explode(suffixes).alias("c_host"), cuts.alias("cuts"))
-    wide = wide.select("host", "path", "c_host", F.explode("cuts").alias("c_path")).where(F.col("c_path").isNotNull())
+    cuts = F.array(*[F.when(F.char_length("l_path") >= n, F.substring("l_path", 1, n)) for n in sorted(facts["lengths"])]) if facts["lengths"] else F.expr("cast(array() as array<string>)")
+    wide = looked.select("host", "path", "plain", "canonical", F.explode(suffixes).alias("c_host"), cuts.alias("cuts"))
+    wide = wide.select("host", "path", "plain", "canonical", "c_host", F.explode("cuts").alias("c_path")).where(F.col("c_path").isNotNull())
     probed = wide.withColumn("word", _word("c_host", "c_path", words)).withColumn("mask", _mask("c_host", "c_path"))
-    return probed.join(F.broadcast(bloom(listed, words)), "word").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("host", "path", "c_host", "c_path")
+    return probed.join(F.broadcast(bloom(listed, words)), "word").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("host", "path", "plain", "canonical", "c_host", "c_path")
 
 
 def judge(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """``pages`` with host, path, rule and verdict."""
     placed = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     hits = possible_hits(placed.select("host", "path").distinct(), listed)
-    exact = hits.join(listed, (F.col("c_host") == F.col("e_host")) & (F.col("c_path") == F.col("e_path")))
+    exact = hits.join(listed, (F.col("c_host") == F.col("e_host")) & (F.col("c_path") == F.col("e_path"))).where(F.when(F.col("is_rule"), F.col("plain")).otherwise(F.col("canonical")))
     name = F.concat("e_host", "e_path")
     best = exact.groupBy("host", "path").agg(
         F.max(F.when(F.col("is_rule"), F.struct(F.char_length(name).alias("len"), name.alias("rule"), F.col("e_verdict").alias("verdict")))).alias("best"),

@@ -44,3 +44,22 @@ def test_filter_has_no_false_negatives(spark):
     places = spark.createDataFrame([(f"h{i}.net", "/x") for i in range(3000)], "host string, path string")
     passed = {(r["host"], r["c_host"]) for r in url_rules.possible_hits(places, listed).collect()}
     assert {(f"h{i}.net", f"h{i}.net") for i in range(300)} <= passed and len(passed) < 600
+
+
+def test_the_list_blocks_unwanted_sites_in_every_spelling(spark):
+    sites = [f"{sub}{site}.example.{top}" for sub in ("", "www.") for site in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+    urls = [form.format(s) for s in sites for form in ("http://{}/x", "https://{}", "http://{}:8080/x", "http://me:pw@{}/x", "http://{}./x", "http://{}.:443?q")]
+    fine = ["http://example.com/x", "http://notcasino-win.example.com/x", "http://casino-win.example.com.other.org/x"]
+    df = spark.createDataFrame(list(enumerate(urls + fine)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_rules.digest(df).collect()}
+    assert [urls[i] for i in range(len(urls)) if got[i]["verdict"] != "block"] == []
+    assert {got[len(urls) + i]["verdict"] for i in range(len(fine))} == {"allow"}
+    assert got[2]["host"] == "ads-track.example.com:8080" and got[2]["path"] == "/x"  # columns stay as they are
+
+
+def test_only_the_list_is_matched_canonically(spark):
+    entries = url_rules.entries(spark, [("r.net", "/a/b", "block")], [("l.net", "/a/b")])
+    df = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(itertools.product(["r.net", "r.net:80", "l.net", "u@l.net:80"], ["/a/b", "//a/./b/c", "/a"]))], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge(df, entries).collect()}
+    assert [got[i][1] for i in range(12)] == ["block"] + ["allow"] * 5 + ["block", "block", "allow"] * 2
+    assert {got[i][0] for i in range(1, 12)} == {None}
