@@ -52,3 +52,19 @@ def test_fertility_of_bytes():
     made = quality.Fertility(quality.tokenizer_path("piece_bpe_32k.model"))
     (plain, odd, none) = list(made.measure(["the plain words of a text", "\U0001d7ff\U0001d7fe", ""]))
     assert plain[1] == 0 and odd[1] > 0.7 and none == (0.0, 0.0, 0.0) and plain[0] > odd[0]
+
+
+def test_bands_of_languages():
+    made = lambda lang, *m, text="plain text": quality.within(text, *m, quality.BANDS, lang)
+    assert made("en", 2.6, 0.01, 0.78) and made("EN-gb", 2.6, 0.01, 0.78) and made("en", 4.6, 0.0, 0.94)
+    assert not made("en", 2.2, 0.01, 0.78) and not made("en-US", 2.2, 0.01, 0.78) and made("fr", 2.2, 0.01, 0.78)
+    assert not made("en", 2.6, 0.06, 0.78) and not made("en", 2.6, 0.01, 0.70)
+    assert made(None, 2.2, 0.01, 0.70) and made("pl", 2.2, 0.01, 0.70) and made("en", 1.2, 0.01, 0.70, text="Привет мир")
+
+
+def test_low_quality_rows_are_rejected(spark):
+    path = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    rows = [r for r in quality.digest(spark.read.parquet(f"{path}/documents.parquet")).collect() if r["doc_id"] in labels and not r["base_failed"]]
+    kept = lambda label: [r["kept"] for r in rows if labels[r["doc_id"]] == label]
+    assert sum(kept(0)) <= 0.3 * len(kept(0)) and sum(kept(1)) >= 0.95 * len(kept(1))
