@@ -99,10 +99,11 @@ def _plan_rows(src: DataFrame, dst: DataFrame, a: TableSchema, b: TableSchema, o
     a, b = _keyed(a, b, spec)
     plan = decide.decide(result.status, result.error, _facts(a, b), spec.where)
     out.mode, out.error, out.argument = plan.mode, plan.error, plan.argument
-    if plan.mode == decide.SKIP:
+    if plan.mode != decide.ERROR:
         out.state_sql, out.state_note = _state(src, dst, a, b, spec)
-        out.mode = decide.STATE if out.state_sql else decide.SKIP
-        out.status = decide.PLANNED if out.state_sql else decide.SKIPPED
+    if plan.mode == decide.SKIP:
+        found = bool(out.state_sql or out.state_note)  # a counter ahead has no statement, but is reported
+        out.mode, out.status = (decide.STATE, decide.PLANNED) if found else (decide.SKIP, decide.SKIPPED)
     elif plan.mode == decide.ERROR:
         out.status = decide.FAILED
     elif plan.mode == decide.FULL:
@@ -157,8 +158,8 @@ def _conflicts(src: DataFrame, dst: DataFrame, a: TableSchema, b: TableSchema, k
 
 def _state(src: DataFrame, dst: DataFrame, a: TableSchema, b: TableSchema, spec: diff.Spec) -> tuple[list[str], str]:
     auto = [c.name for c in a.columns if c.auto_increment]
-    if not auto or spec.where:
-        return [], ""
+    if not auto or spec.where or auto[0] not in [c.name for c in b.columns if c.auto_increment]:
+        return [], ""  # a destination without the column is a difference of structure
     value = lambda df, s: schemas.auto_increment_next(df, auto[0], s.auto_increment_counter).first()["next_value"]
     action, note = decide.state_check(decide.AutoIncrement(value(src, a), value(dst, b)), spec.where)
     return [f"ALTER TABLE {structure.quote_identifier(a.table)} {action}"] if action else [], note
@@ -189,8 +190,10 @@ def apply_table(src: Side, writer: Writer, confirmed: TableSync, options: SyncOp
         now.inserts, now.updates, now.deletes = after.inserts, after.updates, after.deletes
     else:
         _write_rows(src, writer, now, a, options)
-    if now.state_sql:
-        writer.files.write(f"{dst.root}/{table}/_schema.json", replace(dst.schema(table), auto_increment_counter=schemas.auto_increment_next(src.read(table), next(c.name for c in a.columns if c.auto_increment), a.auto_increment_counter).first()["next_value"]).to_json())
+    if now.mode == decide.STATE and not now.state_sql:
+        now.status = decide.SKIPPED  # nothing to write: a counter can only be raised
+        return now
+    _apply_state(src, writer, now, options)
     again = diff.compare(table, src.read(table), dst.read(table), src.schema(table), dst.schema(table), options.spec)
     now.verified = again.status == "OK"
     now.status = decide.APPLIED if now.verified else decide.FAILED
@@ -198,6 +201,19 @@ def apply_table(src: Side, writer: Writer, confirmed: TableSync, options: SyncOp
     return now
 
 
+def _apply_state(src: Side, writer: Writer, now: TableSync, options: SyncOptions) -> None:
+    """Raises the destination's counter to the source's, by what both hold after the rows are written."""
+    dst, table = writer.side, now.name
+    a, b, rows = src.schema(table), dst.schema(table), src.read(table)
+    done, note = _state(rows, dst.read(table), a, b, options.spec)
+    now.state_note = note
+    if done:
+        auto = next(c.name for c in a.columns if c.auto_increment)
+        counter = schemas.auto_increment_next(rows, auto, a.auto_increment_counter).first()["next_value"]
+        writer.files.write(f"{dst.root}/{table}/_schema.json", replace(b, auto_increment_counter=counter).to_json())
+        now.state_sql = done
+
+
 def _apply_structure(src: Side, writer: Writer, table: str, a: TableSchema, options: SyncOptions) -> None:
     """Rewrites the destination with the source's columns; added ones are null until rows are synced."""
     ours, theirs = src.read(table), writer.side.read(table)

@@ -124,3 +124,42 @@ def test_stream_of_changes(spark, tmp_path):
     seen = []
     incremental.watch(stream, lambda: (src, dst), s, s, plan, lambda df, _: seen.extend(df.collect()), f"{tmp_path}/checkpoint").processAllAvailable()
     assert sorted((r["chunk_id"], r["same"]) for r in seen) == [(0, True), (4, False)]
+
+
+def counted(spark, tmp_path, ids, counters, keyed=True):
+    """Two sides of a table with an auto-increment column; the destination holds ``ids``."""
+    src, dst = Side(spark, f"file://{tmp_path}/src"), Side(spark, f"file://{tmp_path}/dst")
+    for side, some, counter in ((src, range(20), counters[0]), (dst, ids, counters[1])):
+        rows = spark.createDataFrame([(i, f"v{i}") for i in some], "id long, v string")
+        s = schemas.introspect(rows, "t")
+        s = replace(s, columns=tuple(replace(c, nullable=c.name != "id", auto_increment=c.name == "id") for c in s.columns), auto_increment_counter=counter)
+        Writer(side, True).put("t", rows, with_indexes(s, PRIMARY=("id",)) if keyed else s)
+    return src, dst
+
+
+@pytest.mark.parametrize(("keyed", "mode"), [(True, "ROWLEVEL"), (False, "FULL")])
+def test_counters_are_raised_with_rows(spark, tmp_path, keyed, mode):
+    src, dst = counted(spark, tmp_path, range(5), (100, 7), keyed)
+    plan = sync.plan_table(src, dst, "t")
+    assert (plan.mode, plan.status, plan.state_sql) == (mode, "PLANNED", ["ALTER TABLE `t` AUTO_INCREMENT = 100"])
+    done = sync.apply_table(src, Writer(dst, True), plan)
+    assert (done.status, done.verified, len(done.state_sql)) == ("APPLIED", True, 1)
+    assert dst.schema("t").auto_increment_counter == 100 and sync.plan_table(src, dst, "t").mode == "SKIP"
+
+
+def test_counters_ahead_are_reported(spark, tmp_path):
+    src, dst = counted(spark, tmp_path, range(20), (100, 200))
+    plan = sync.plan_table(src, dst, "t")
+    assert (plan.mode, plan.status, plan.state_sql) == ("STATE", "PLANNED", []) and "200" in plan.state_note
+    assert cli.main(["sync", "--src", src.root, "--dst", dst.root], spark, lambda _: "n", io.StringIO()) == 1
+    before = dst.path("t")
+    done = sync.apply_table(src, Writer(dst, True), plan)
+    assert done.status == "SKIPPED" and done.state_note and dst.path("t") == before and dst.schema("t").auto_increment_counter == 200
+
+
+def test_counters_alone_are_raised(spark, tmp_path):
+    src, dst = counted(spark, tmp_path, range(20), (100, None))
+    plan = sync.plan_table(src, dst, "t")
+    assert plan.mode == "STATE" and sync.apply_table(src, Writer(dst, True), plan).status == "APPLIED"
+    assert dst.schema("t").auto_increment_counter == 100
+    assert sync.plan_table(src, dst, "t", sync.SyncOptions(spec=diff.Spec(where="id > 3"))).mode == "SKIP"
