@@ -1,7 +1,8 @@
 """Benchmark decontamination: item-sized windows of documents within a small edit distance of an item.
 
-Words are compared in lower case. An item is looked for through its first ``size`` words, for the largest
-window size that it fills. A window is embedded by CGK random walks: a walk of 3 x size steps emits the
+Words are compared in lower case. An item of under 2 x PIECE words is looked for through its first ``size``
+words, for the largest window size that it fills; a longer one through all its disjoint pieces of PIECE words,
+one of which holds at most its share of the edits, however long the item is. A window is embedded by CGK random walks: a walk of 3 x size steps emits the
 word it stands on and moves on by a bit that depends on step and word, so that few edits leave most steps
 equal (edit distance becomes Hamming distance). Repeated bit-sampling LSH takes SAMPLED steps of a walk as
 a key, TABLES keys a walk, WALKS walks; windows that share a key with an item's prefix are candidates, and
@@ -41,6 +42,7 @@ MOST_EDITS = 0.1
 WALKS, TABLES, SAMPLED = 4, 16, 4
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 LEAST_WORDS = 5
+PIECE = 32
 GROUP_WORDS = 400_000
 _U = np.uint64
 
@@ -64,6 +66,16 @@ def window_size(n: int) -> int:
     return size
 
 
+def pieces(n: int) -> tuple[int, list[int], int]:
+    """Size and first words of the pieces by which an item of ``n`` words is looked for, and the edits that
+    the piece with fewest holds at most."""
+    if n < LEAST_WORDS:
+        return n, [0], most_edits(n)
+    if n < 2 * PIECE:
+        return window_size(n), [0], most_edits(n)
+    return PIECE, list(range(0, n - PIECE + 1, PIECE)), most_edits(n) // (n // PIECE)
+
+
 def walk(words: np.ndarray, starts: np.ndarray, size: int, seed: int) -> np.ndarray:
     """CGK embeddings (a row a start) of the ``size`` words from each start; past the end it emits 0.
     Of the embedding's 3 x size steps the first 2 x size are walked, as keys are sampled from those."""
@@ -129,13 +141,16 @@ class Items:
         self.other = len(self.number)
         self.hashes = np.append(word_hashes(list(self.number)), _U(1))
         self.by_size: dict[int, dict] = {}
-        sizes: dict[int, list[int]] = {}
+        sizes: dict[int, list[tuple[int, int]]] = {}
+        most: dict[int, int] = {}
         for k, (_, words) in enumerate(self.items):
             if words:
-                sizes.setdefault(window_size(len(words)) if len(words) >= LEAST_WORDS else len(words), []).append(k)
+                size, offsets, edits = pieces(len(words))
+                sizes.setdefault(size, []).extend((k, o) for o in offsets)
+                most[size] = max(most.get(size, 0), edits)
         for size, members in sorted(sizes.items()):
-            edits = max(most_edits(len(self.items[k][1])) for k in members)
-            flat, starts = np.concatenate([self.numbers(self.items[k][1][:size]) for k in members]), np.arange(len(members)) * size
+            edits = most[size]
+            flat, starts = np.concatenate([self.numbers(self.items[k][1][o : o + size]) for k, o in members]), np.arange(len(members)) * size
             known = np.zeros(self.other + 1, dtype=bool)
             known[flat] = True
             tables = []
@@ -151,7 +166,7 @@ class Items:
         return np.array([get(w, other) for w in words], dtype=np.int64)
 
     def candidates(self, number: np.ndarray, ends: np.ndarray) -> Counter:
-        """(start, item) of windows that share keys with an item, and how many they share; ``number`` are
+        """(start, item, the piece's first word) of windows that share keys with an item, and how many they share; ``number`` are
         the documents' words one after another, ``ends`` is for each position its document's end."""
         out: Counter = Counter()
         words = self.hashes[number]
@@ -170,7 +185,7 @@ class Items:
                         for h in hit.tolist():
                             key, k = found[h, t], int(low[h])
                             while k < len(keys) and keys[k] == key:
-                                out[int(some[h]), int(owners[k])] += 1
+                                out[int(some[h]), int(owners[k, 0]), int(owners[k, 1])] += 1
                                 k += 1
         return out
 
@@ -186,19 +201,25 @@ def matches(index: Items, texts: list[str | None]) -> list[dict[int, tuple[int,
     number = np.concatenate([index.numbers(w) for w in split])
     ends = np.cumsum(sizes)
     found = index.candidates(number, np.repeat(ends, sizes))
-    for start, k in sorted(found, key=lambda c: (-found[c], c)):
+    seen: set[tuple[int, int, int]] = set()
+    for start, k, offset in sorted(found, key=lambda c: (-found[c], c)):
         d = int(np.searchsorted(ends, start, side="right"))
-        at = start - int(ends[d] - sizes[d])
+        at = start - int(ends[d] - sizes[d]) - offset  # where the item starts, but for edits before the piece
+        if (d, k, at) in seen:
+            continue
+        seen.add((d, k, at))
         item, words = index.items[k]
         edits = most_edits(len(words))
         best = out[d].get(item, (edits + 1,))
         if best[0] == 0:
             continue
         first = max(0, at - edits)
-        stretch = split[d][first : at + len(words) + edits]
+        stretch = split[d][first : max(at + len(words) + edits, 0)]
         if len(index.distinct[k].difference(stretch)) > edits:
             continue  # every word that is missing costs an edit
         n, end = edit_distance(words, stretch)
+        if n <= edits and len(words) >= 2 * PIECE:  # the start that belongs to this end
+            at = first + end - edit_distance(words[::-1], stretch[:end][::-1])[1]
         if n <= edits and (n, at) < best[:2]:
             out[d][item] = (n, at, max(first + end - at, 0))
     return out

@@ -105,3 +105,16 @@ def test_short_items_repeated_items_and_empty_tables(spark):
 def test_blocks_are_bounded(spark):
     bench = spark.createDataFrame([(i, "x " * 10) for i in range(25)], "item_id long, text string")
     assert [len(b) for b in d.blocks(bench)] == [25]
+
+
+@pytest.mark.parametrize("n", [64, 150, 256, 400])
+def test_long_items_are_found_at_the_greatest_number_of_edits(n):
+    rng = random.Random(n)
+    items = [[f"i{k}w{j}" for j in range(n)] for k in range(30)]
+    index, texts = d.Items([(k, " ".join(w)) for k, w in enumerate(items)]), []
+    for w in items:
+        gone = set(rng.sample(range(n), d.most_edits(n)))
+        texts.append(" ".join(["before"] * 20 + [x for j, x in enumerate(w) if j not in gone] + ["after"] * 20))
+    found = d.matches(index, texts)
+    assert sum(k in m for k, m in enumerate(found)) >= 29
+    assert all(m[k][0] == d.most_edits(n) and 20 <= m[k][1] <= 30 for k, m in enumerate(found) if k in m)
