@@ -3,28 +3,51 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed byte classes used by several contracts: ASCII white space, and A-Z to lower case.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Scripts written without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han); each of
+#: their letters counts as a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_PLAIN_WORD, _UNSPACED = re.compile(r"\w+"), re.compile(f"[{UNSPACED}]")
+_WORD = re.compile(rf"[^\W{UNSPACED}]+|(?=\w)[{UNSPACED}]")
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def words_of(text: str | None) -> list[str]:
+    """Words in lower case; a letter of a script without spaces is a word."""
+    text = (text or "").lower()
+    plain = text.isascii() or not _UNSPACED.search(text)
+    return (_PLAIN_WORD if plain else _WORD).findall(text)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Whole rows as one struct, ``row``, beside the columns named: own columns then clash with none of the rows'."""
+    return docs.select(F.struct("*").alias("row"), *[docs[c] for c in columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only
-    where the session has none (single-machine tests)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. A session on one machine
+    that has none gets a temporary one; on a cluster a missing one is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tablewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,26 +70,24 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor
-    costs a reread instead of a recomputation."""
+    costs a reread instead of a recomputation. The job's shuffle files go as soon as it is done."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = fresh_path(spark, label), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     return out
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Delete settled tables that nothing reads any more, and let the driver collect what refers to them:
-    shuffle files stay on the executors' disks until it does."""
-    spark = None
+    """Delete settled tables that nothing reads any more."""
     for table in tables:
         if table is not None and hasattr(table, "settled_at"):
-            spark = table.sparkSession
-            _remove(spark, table.settled_at)
-    if spark is not None:
-        gc.collect()
-        spark._jvm.System.gc()
+            _remove(table.sparkSession, table.settled_at)
 
 
 def column_values(batch: pa.RecordBatch, name: str, some: int = 256) -> Iterator:

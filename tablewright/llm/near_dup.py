@@ -20,24 +20,26 @@ the others meet further pivots, four times as many each round, until no bucket h
 pair in a bucket is compared, excluded by the triangle inequality, or already connected; no step lists a
 bucket's pairs, and hot buckets, nodes and classes are split as skewed joins.
 
-Defined cases: texts without words (null, empty) form one class; texts of fewer than five words are one
-shingle; repeated rows are copies; a class is named by its least doc_id (null where no member has one);
-columns other than doc_id and text are not read.
+Defined cases: null, empty and blank texts form one class; other texts without words (symbols) are alike only
+if equal, white space at the ends aside; texts of fewer than five words are one shingle; letters of scripts
+without spaces are words; repeated rows are copies. A class is named by its least doc_id; where several
+classes have the same one (texts that share a doc_id), all but the first are named by a negative hash, as are
+classes without any doc_id. Rows without a doc_id are judged like others. Columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_values, discard, settle
+from .common import boxed, column_values, discard, settle, words_of
 from .components import merged
 
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -45,10 +47,12 @@ BANDS, ROWS = 32, 5
 PLACES = BANDS * ROWS
 PHASES = ((0, 1), (1, 4), (4, 12), (12, BANDS))
 LARGE = 64
-CHUNK_ROWS, CHUNK_BYTES, BLOCK_ROWS, BLOCK_BYTES = 256, 2_000_000, 1024, 4_000_000
+#: A unit of the search in a large group: a chunk of members against a block of queries. Groups are cut into at
+#: least SPREAD chunks (of LEAST_ROWS members and more), so that they are searched in parallel.
+CHUNK_ROWS, CHUNK_BYTES, BLOCK_ROWS, BLOCK_BYTES = 16_384, 16_000_000, 4096, 8_000_000
+SPREAD, LEAST_ROWS, LEAST_BYTES = 64, 256, 2_000_000
 GROUP_WORDS = 200_000
 MOST_KEPT = 150_000
-WORD = re.compile(r"\w+")
 
 _U = np.uint64
 _WORD_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=_U)
@@ -74,10 +78,6 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
-
-
 def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=_U, count=len(words))
 
@@ -141,6 +141,11 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def text_mark(text: str) -> Column:
+    """Tells texts of rows that share a doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, node, keys) of every row: mark tells texts apart, node is the word sequence's hash,
     keys are its bands."""
@@ -158,7 +163,8 @@ def signed(docs: DataFrame) -> DataFrame:
 
             for text in column_values(batch, "text"):
                 words = words_of(text)
-                nodes.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                same = " ".join(words) or "\n" + (text or "").strip()  # no word holds a line break
+                nodes.append(hashlib.blake2b(same.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 group.append(shingle_hashes(word_hashes(words)))
                 held += len(words)
                 if held > GROUP_WORDS:
@@ -169,7 +175,7 @@ def signed(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
             yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array(nodes, pa.binary()), lists], names=["doc_id", "mark", "node", "keys"])
 
-    marked = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    marked = docs.select("doc_id", text_mark("text").alias("mark"), "text")
     return settle(marked.mapInArrow(sign, "doc_id long, mark long, node binary, keys array<long>"), "signed")
 
 
@@ -270,8 +276,9 @@ def block_links(large: DataFrame, texts: DataFrame) -> DataFrame:
     members = settle(members, "members")
     size, asked = F.octet_length("text"), F.col("query")
     up = lambda x, y: F.ceil(x / F.lit(y)).cast("int")
+    spread = F.least(F.greatest(up(F.count("*"), LEAST_ROWS), up(F.sum(size), LEAST_BYTES)), F.lit(SPREAD))
     shape = settle(members.groupBy("g").agg(
-        F.greatest(up(F.count("*"), CHUNK_ROWS), up(F.sum(size), CHUNK_BYTES)).alias("chunks"),
+        F.greatest(up(F.count("*"), CHUNK_ROWS), up(F.sum(size), CHUNK_BYTES), spread).alias("chunks"),
         F.greatest(up(F.sum(asked.cast("long")), BLOCK_ROWS), up(F.sum(F.when(asked, size)), BLOCK_BYTES), F.lit(1)).alias("blocks"),
     ), "shape")
     shaped = members.join(shape, "g")
@@ -302,7 +309,7 @@ def labels_of(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
         return None
     needed = settle(state.select(F.col("x").alias("node")).unionByName(first.select(F.col("p").alias("node"))).distinct(), "needed")
     wanted = nodes.join(needed, "node").select("node", "rep.doc_id", "rep.mark")
-    all_texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("m"), "text")
+    all_texts = docs.select(F.col("doc_id").alias("d"), text_mark("text").alias("m"), "text")
     found = all_texts.join(wanted, all_texts["d"].eqNullSafe(wanted["doc_id"]) & (all_texts["m"] == wanted["mark"]))
     texts = settle(found.select("node", "text").dropDuplicates(["node"]), "texts")
     discard(nodes, needed)
@@ -348,28 +355,38 @@ def labels_of(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
         state, pivots = rest, pivots * 4
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, class_id) of every row."""
+def members_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, comp) of every row, and (comp, doc_id, mark, class_id) of every class: its least row, ids
+    before rows without one, and its name."""
+    docs = docs.select("doc_id", "text")
     rows = signed(docs)
     labels = labels_of(docs, rows)
-    named = settle(_labelled(rows.select("doc_id", "mark", "node"), labels, "node", "comp"), "named")
+    named = settle(_labelled(rows.select("doc_id", "mark", "node"), labels, "node", "comp").select("doc_id", "mark", "comp"), "named")
     discard(rows, labels)
-    least = settle(named.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "least")
-    return named.join(least, "comp").select("doc_id", "mark", "class_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("least")
+    found = settle(named.groupBy("comp").agg(least).select("comp", "least.doc_id", "least.mark"), "least")
+    owner = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("mark").alias("owner"))
+    other = F.bitwise_not(F.shiftrightunsigned(F.xxhash64("doc_id", "mark"), 1))  # below 0
+    name = F.when(F.col("owner") == F.col("mark"), F.col("doc_id")).otherwise(other)
+    return named, settle(found.join(owner, "doc_id", "left").select("comp", "doc_id", "mark", name.alias("class_id")), "classes")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return classes(docs).select("doc_id", "class_id")
+    """(doc_id, class_id) of every row."""
+    named, classes = members_and_classes(docs)
+    return named.join(classes.select("comp", "class_id"), "comp").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that of its least doc_id and, among rows that share it, of the
-    least text mark; of repeated rows one stays. Rows of a class without any doc_id all stay."""
-    found = settle(classes(docs), "classes")
-    best = found.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.min("mark").alias("mark"), F.count("*").alias("copies"))
-    best = settle(best.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("copies").alias("__copies")), "best")
-    mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    kept = docs.join(best, (docs["doc_id"] == F.col("__doc")) & (mark == F.col("__mark")))
-    once = kept.where("__copies = 1").select(*docs.columns)
-    many = kept.where("__copies > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return once.unionByName(many).unionByName(docs.where(F.col("doc_id").isNull()))
+    least text mark; of repeated rows one stays. In a class without any doc_id the least mark decides."""
+    named, classes = members_and_classes(docs)
+    held = named.groupBy("doc_id", "mark").agg(F.count("*").alias("copies"))
+    best = classes.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"))
+    best = best.join(held, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark"))).select("d", "m", "copies")
+    best = settle(best, "best")
+    rows = boxed(docs, "doc_id", "text").select("row", "doc_id", text_mark("text").alias("mark"))
+    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
+    once = kept.where("copies = 1").select("row.*")
+    many = kept.where("copies > 1").groupBy("doc_id", "mark").agg(F.first("row").alias("row")).select("row.*")
+    return once.union(many)

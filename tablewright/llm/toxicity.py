@@ -18,7 +18,6 @@ both classes every score is 0; repeated rows score alike; other columns are carr
 from __future__ import annotations
 
 import pickle
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,10 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_values
+from .common import boxed, column_values, words_of
 from .near_dup import mix
 
-WORD = re.compile(r"\w+")
 WINDOW, STRIDE = 24, 12
 WORD_DIM = CHAR_DIM = HIDDEN = 8
 NGRAMS, BUCKETS = (3, 4, 5), 1 << 15
@@ -44,10 +42,6 @@ GROUP_WORDS = 100_000
 _U = np.uint64
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
-
-
 def char_ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all character n-grams (with marks for start and end) of words, one after another, and
     how many each word has."""

@@ -7,8 +7,9 @@ from tablewright.llm import components, near_dup
 
 
 def brute(docs):
-    """Classes by all pairs: (doc_id, class_id) of every row."""
+    """Classes by all pairs: a number for every row."""
     bags = [near_dup.bag_of(t) for _, t in docs]
+    bare = [(t or "").strip() for _, t in docs]
     parent = list(range(len(docs)))
 
     def root(x):
@@ -19,13 +20,17 @@ def brute(docs):
     for a in range(len(docs)):
         for b in range(a):
             inter, union = near_dup.overlap(bags[a], bags[b])
-            if union == 0 or 5 * inter >= 4 * union:
+            if 5 * inter >= 4 * union and (union or bare[a] == bare[b]):
                 parent[root(a)] = root(b)
-    least = {}
-    for i, (d, _) in enumerate(docs):
-        if d is not None:
-            least[root(i)] = min(least.get(root(i), d), d)
-    return [(d, least.get(root(i))) for i, (d, _) in enumerate(docs)]
+    return [root(i) for i in range(len(docs))]
+
+
+def classes_of(ids, names):
+    """The partition that class names say, as sorted lists of ids."""
+    out = {}
+    for d, c in zip(ids, names):
+        out.setdefault(c, []).append(str(d))
+    return sorted(sorted(x) for x in out.values())
 
 
 def near_copies(rng, n, words, edits):
@@ -45,23 +50,51 @@ def docs():
     rng = random.Random(1)
     texts = near_copies(rng, 150, 150, [1, 2, 4, 6, 9]) + near_copies(rng, 12, 40, [0, 1, 2]) + near_copies(rng, 30, 300, [0])
     texts += [" ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 60))) for _ in range(60)]
-    texts += [None, "", "!!!", "one two", "One, two!", "one two three", "long " * 30000]
+    texts += [None, "", " \n", "!!!", "!!! ", "???", "漢字仮名交文。" * 9, "漢字仮名交文。" * 9 + "字", "天地玄黃宇宙洪荒日月盈昃辰宿列張", "one two", "One, two!", "one two three", "long " * 30000]
     made = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
     return made + [made[3], made[3], (made[4][0], "another text of the same id that is alone"), (None, texts[0]), (None, "only here without an id at all")]
 
 
 def test_classes_are_those_of_all_pairs(spark, docs):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    assert sorted(map(str, map(tuple, near_dup.digest(df).collect()))) == sorted(map(str, brute(docs)))
+    found = near_dup.digest(df).collect()
+    ids = [d for d, _ in docs]
+    assert classes_of([r["doc_id"] for r in found], [r["class_id"] for r in found]) == classes_of(ids, brute(docs))
+    with_id = {r["class_id"] for r in found if r["class_id"] >= 0}
+    assert with_id == {min(int(d) for d in c if d != "None") for c in classes_of(ids, brute(docs)) if c != ["None"]}
 
 
 def test_one_of_each_class_stays(spark, docs):
     df = spark.createDataFrame([(d, t, i % 3, "x") for i, (d, t) in enumerate(docs)], "doc_id long, text string, comp int, mark string").repartition(5)
     kept = near_dup.keep_one(df)
     assert kept.columns == df.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    wanted = {c for d, c in brute(docs) if d is not None}
-    assert {d for d in ids if d is not None} == wanted and len(ids) == len(wanted) + 2
+    rows, found = kept.collect(), brute(docs)
+    at = {(d, t): c for (d, t), c in zip(docs, found)}
+    assert sorted(at[r["doc_id"], r["text"]] for r in rows) == sorted(set(found))
+    assert "another text of the same id that is alone" in [r["text"] for r in rows]
+
+
+def test_ids_shared_by_unlike_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (1, b), (5, b), (6, a), (None, a), (None, "only here"), (None, "only here")]
+    columns = "doc_id long, text string, __copies int, __doc int, row int, `a.b` int, d int"
+    df = spark.createDataFrame([(*r, 0, 0, 0, 0, 0) for r in rows], columns)
+    kept = near_dup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [(1, a), (1, b), (None, "only here")]))
+    found = near_dup.digest(df).collect()
+    assert classes_of([r["doc_id"] for r in found], [r["class_id"] for r in found]) == [["1", "5"], ["1", "6", "None"], ["None", "None"]]
+
+
+def test_units_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LARGE", 8)
+    for name, value in (("CHUNK_ROWS", 20), ("BLOCK_ROWS", 7), ("SPREAD", 3), ("LEAST_ROWS", 5)):
+        monkeypatch.setattr(near_dup, name, value)
+    rng = random.Random(9)
+    texts = near_copies(rng, 120, 60, [1, 2, 3, 4, 5])
+    rows = list(enumerate(texts))
+    found = near_dup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert classes_of([r["doc_id"] for r in found], [r["class_id"] for r in found]) == classes_of(range(len(rows)), brute(rows))
 
 
 def test_signatures_estimate_weighted_jaccard():
