@@ -6,11 +6,12 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed byte classes used by several contracts: ASCII white space, and A-Z to lower case.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -41,6 +42,33 @@ def boxed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *[docs[c] for c in columns])
 
 
+def added(docs: DataFrame, columns: str, start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
+    """``docs`` with more ``columns`` (a DDL string), which replace those of the same names. ``start`` is called
+    once a task; what it returns makes the columns of a batch of whole rows."""
+    new = T.StructType.fromDDL(columns)
+    rows = docs.drop(*new.names).select(F.struct("*").alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for batch in batches:
+            row = batch.column("row")
+            yield pa.record_batch([row, *compute(pa.RecordBatch.from_struct_array(row))], names=["row", *new.names])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *new.fields])).select("row.*", *new.names)
+
+
+def filtered(docs: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows of ``docs`` for which what ``start`` returns, called with a batch of whole rows, says true."""
+    rows = boxed(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for batch in batches:
+            yield batch.filter(pa.array(keep(pa.RecordBatch.from_struct_array(batch.column("row"))), pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).select("row.*")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``. A session on one machine
     that has none gets a temporary one; on a cluster a missing one is an error."""

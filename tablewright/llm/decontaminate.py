@@ -1,32 +1,33 @@
 """Benchmark decontamination: item-sized windows of documents within a small edit distance of an item.
 
-Words are compared in lower case. An item of under 2 x PIECE words is looked for through its first ``size``
-words, for the largest window size that it fills; a longer one through all its disjoint pieces of PIECE words,
-one of which holds at most its share of the edits, however long the item is. A window is embedded by CGK random walks: a walk of 3 x size steps emits the
-word it stands on and moves on by a bit that depends on step and word, so that few edits leave most steps
-equal (edit distance becomes Hamming distance). Repeated bit-sampling LSH takes SAMPLED steps of a walk as
-a key, TABLES keys a walk, WALKS walks; windows that share a key with an item's prefix are candidates, and
-a candidate counts only if the whole item is within MOST_EDITS of its length of some stretch of the text
-around it, by exact edit distance (of words).
+Words are compared in lower case. An item of under 2 x PIECE words is looked for in windows of its own size; a
+longer one through all its disjoint pieces of PIECE words, one of which holds at most its share of the edits,
+however long the item is. A window is embedded by CGK random walks: a walk of 3 x size steps emits the word it
+stands on and moves on by a bit that depends on step and word, so that few edits leave most steps equal (edit
+distance becomes Hamming distance). Repeated bit-sampling LSH takes SAMPLED steps of a walk, one from each of
+so many equal stretches of it, as a key, TABLES keys a walk, WALKS walks; windows that share a key with an item
+are candidates, and a candidate counts only if the whole item is within MOST_EDITS of its length of some
+stretch of the text around it, by exact edit distance (of words).
 
 Before a window is embedded, one necessary condition is checked for all window positions at once: at most
 so many edits leave at least size - edits of its words in the items' vocabulary, so windows with fewer
 cannot match and are not embedded. It loses nothing.
 
-Items are a stated query set: they go to the executors in blocks of at most BLOCK_ITEMS and BLOCK_CHARS, so
-what is broadcast is bounded however long the benchmark is, and each block passes over the documents once.
+Items are a stated query set. Items of equal words are one: it has the least of their ids and their number,
+and ``item_classes`` tells which ids it stands for. They go to the executors in blocks of at most BLOCK_ITEMS
+and BLOCK_CHARS, so what is broadcast is bounded however long the benchmark is, and each block passes over the
+documents once.
 
-Defined cases: null or empty texts and items without words match nothing; items shorter than the least
-window are looked for by all their words, unedited; rows that share a doc_id are reported together, with
-the best of their matches; repeated items are reported each.
+Defined cases: null or empty texts and items without words match nothing; items shorter than LEAST_WORDS are
+looked for by all their words, unedited; letters of scripts without spaces are words; ``leaks`` reports rows
+that share a doc_id together, with the best of their matches, and rows without a doc_id as one such group;
+``without_leaks`` judges each row by itself, whatever its id, and carries all columns along.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,73 +35,62 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_values, settle
+from .common import column_values, filtered, settle, words_of
 from .near_dup import mix, word_hashes
 
-WORD = re.compile(r"\w+")
 MOST_EDITS = 0.1
-WALKS, TABLES, SAMPLED = 4, 16, 4
+WALKS, TABLES, SAMPLED = 8, 8, 5
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 LEAST_WORDS = 5
-PIECE = 32
+PIECE = 16
 GROUP_WORDS = 400_000
 _U = np.uint64
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
-
-
 def most_edits(n: int) -> int:
     """Edits allowed to an item of ``n`` words."""
     return int(n * MOST_EDITS)
 
 
-def window_size(n: int) -> int:
-    """The largest size among 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 28, 32, 40, ... that ``n`` words fill."""
-    size, step = LEAST_WORDS, 1
-    while size + step <= n:
-        size += step
-        if size in (8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096):
-            step *= 2
-    return size
-
-
 def pieces(n: int) -> tuple[int, list[int], int]:
     """Size and first words of the pieces by which an item of ``n`` words is looked for, and the edits that
     the piece with fewest holds at most."""
-    if n < LEAST_WORDS:
-        return n, [0], most_edits(n)
     if n < 2 * PIECE:
-        return window_size(n), [0], most_edits(n)
+        return n, [0], most_edits(n) if n >= LEAST_WORDS else 0
     return PIECE, list(range(0, n - PIECE + 1, PIECE)), most_edits(n) // (n // PIECE)
 
 
 def walk(words: np.ndarray, starts: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """CGK embeddings (a row a start) of the ``size`` words from each start; past the end it emits 0.
-    Of the embedding's 3 x size steps the first 2 x size are walked, as keys are sampled from those."""
-    at, out = np.zeros(len(starts), dtype=np.int64), np.zeros((len(starts), 2 * size), dtype=_U)
-    for step in range(2 * size):
-        word = np.where(at < size, words[np.minimum(starts + at, len(words) - 1)], _U(0))
-        out[:, step] = word
+    """CGK embeddings (a row a step, a column a start) of the ``size`` words from each start; past the end a walk
+    emits 0."""
+    at, out = starts.copy(), np.zeros((3 * size, len(starts)), dtype=_U)
+    words, ends = np.append(words, np.zeros(1, dtype=_U)), np.minimum(starts + size, len(words))
+    for step in range(3 * size):
+        word = words[at]
+        word[at >= ends] = 0
+        out[step] = word
         salt = _U((seed * 1_000_003 + step) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         at += (mix(word ^ salt) >> _U(63)).astype(np.int64)
+        np.minimum(at, ends, out=at)
     return out
 
 
 def sampled_steps(size: int, seed: int) -> np.ndarray:
-    """TABLES x SAMPLED steps of a walk. They lie in its first 2 x size steps: by then it has read about the whole window."""
+    """TABLES x SAMPLED steps of a walk, one from each of SAMPLED stretches of it."""
     rng = np.random.default_rng([size, seed])
-    return np.array([np.sort(rng.choice(2 * size, min(SAMPLED, 2 * size), replace=False)) for _ in range(TABLES)])
+    edges = [3 * size * k // SAMPLED for k in range(SAMPLED + 1)]
+    return np.array([[rng.integers(low, max(high, low + 1)) for low, high in zip(edges, edges[1:])] for _ in range(TABLES)]).clip(0, 3 * size - 1)
 
 
 def keys_of(words: np.ndarray, starts: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """LSH keys (a row a start, a column a table) of one walk."""
+    """LSH keys (a row a table, a column a start) of one walk."""
     emitted = walk(words, starts, size, seed)
-    steps = sampled_steps(size, seed)
-    out = np.broadcast_to(np.arange(TABLES, dtype=_U) + _U(1000 * seed), (len(starts), TABLES)).copy()
-    for k in range(steps.shape[1]):
-        out = mix(out * _U(0x9E3779B97F4A7C15) + emitted[:, steps[:, k]])
+    out = np.empty((TABLES, len(starts)), dtype=_U)
+    for t, steps in enumerate(sampled_steps(size, seed)):
+        key = np.full(len(starts), t + 1000 * seed, dtype=_U)
+        for step in steps:
+            key = mix(key * _U(0x9E3779B97F4A7C15) + emitted[step])
+        out[t] = key
     return out
 
 
@@ -131,8 +121,9 @@ class Items:
     """An index over one block of items: their words' numbers, and LSH tables for each window size. Words
     that no item has count as one word, as none of them equals an item's."""
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
-        self.items = [(i, words_of(t)) for i, t in rows]
+    def __init__(self, rows: list[tuple]) -> None:
+        """``rows``: what names an item, and its words joined by spaces."""
+        self.items = [(name, words.split(" ")) for name, words in rows if words]
         self.distinct = [set(words) for _, words in self.items]
         self.number: dict[str, int] = {}
         for _, words in self.items:
@@ -144,56 +135,54 @@ class Items:
         sizes: dict[int, list[tuple[int, int]]] = {}
         most: dict[int, int] = {}
         for k, (_, words) in enumerate(self.items):
-            if words:
-                size, offsets, edits = pieces(len(words))
-                sizes.setdefault(size, []).extend((k, o) for o in offsets)
-                most[size] = max(most.get(size, 0), edits)
+            size, offsets, edits = pieces(len(words))
+            sizes.setdefault(size, []).extend((k, o) for o in offsets)
+            most[size] = max(most.get(size, 0), edits)
         for size, members in sorted(sizes.items()):
-            edits = most[size]
             flat, starts = np.concatenate([self.numbers(self.items[k][1][o : o + size]) for k, o in members]), np.arange(len(members)) * size
             known = np.zeros(self.other + 1, dtype=bool)
             known[flat] = True
             tables = []
             for seed in range(WALKS):
-                found = keys_of(self.hashes[flat], starts, size, seed)
-                for t in range(TABLES):
-                    order = np.argsort(found[:, t], kind="stable")
-                    tables.append((found[order, t], np.asarray(members)[order]))
-            self.by_size[size] = {"edits": edits, "known": known, "tables": tables}
+                for found in keys_of(self.hashes[flat], starts, size, seed):
+                    order = np.argsort(found, kind="stable")
+                    tables.append((found[order], order))
+            self.by_size[size] = {"edits": most[size], "known": known, "tables": tables, "members": np.array(members)}
 
     def numbers(self, words: list[str]) -> np.ndarray:
         get, other = self.number.get, self.other
         return np.array([get(w, other) for w in words], dtype=np.int64)
 
-    def candidates(self, number: np.ndarray, ends: np.ndarray) -> Counter:
-        """(start, item, the piece's first word) of windows that share keys with an item, and how many they share; ``number`` are
-        the documents' words one after another, ``ends`` is for each position its document's end."""
-        out: Counter = Counter()
+    def candidates(self, number: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(keys shared, start, item, the piece's first word) of windows that share keys with an item; ``number``
+        are the documents' words one after another, ``ends`` is for each position its document's end."""
         words = self.hashes[number]
         known, places = np.zeros(len(number) + 1, dtype=np.int32), np.arange(len(number))
         for size, index in self.by_size.items():
             np.cumsum(index["known"][number], out=known[1:])
             starts = np.flatnonzero(known[np.minimum(places + size, ends)] - known[:-1] >= size - index["edits"])
-            for at in range(0, len(starts), 50_000):
-                some = starts[at : at + 50_000]
+            members = index["members"]
+            for at in range(0, len(starts), 20_000):
+                some, hits = starts[at : at + 20_000], []
                 for seed in range(WALKS):
-                    found = keys_of(words, some, size, seed)
-                    for t in range(TABLES):
-                        keys, owners = index["tables"][seed * TABLES + t]
-                        low = np.searchsorted(keys, found[:, t])
-                        hit = np.flatnonzero((low < len(keys)) & (keys[np.minimum(low, len(keys) - 1)] == found[:, t]))
-                        for h in hit.tolist():
-                            key, k = found[h, t], int(low[h])
-                            while k < len(keys) and keys[k] == key:
-                                out[int(some[h]), int(owners[k, 0]), int(owners[k, 1])] += 1
-                                k += 1
-        return out
-
-
-def matches(index: Items, texts: list[str | None]) -> list[dict[int, tuple[int, int, int]]]:
+                    for (keys, order), asked in zip(index["tables"][seed * TABLES :], keys_of(words, some, size, seed)):
+                        low = np.searchsorted(keys, asked)
+                        hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == asked)
+                        if len(hit):
+                            low = low[hit]
+                            n = np.searchsorted(keys, asked[hit], side="right") - low
+                            run = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                            hits.append(np.repeat(hit, n) * len(members) + order[run])
+                if hits:
+                    pairs, shared = np.unique(np.concatenate(hits), return_counts=True)
+                    start, member = np.divmod(pairs, len(members))
+                    yield from zip(shared.tolist(), some[start].tolist(), members[member, 0].tolist(), members[member, 1].tolist())
+
+
+def matches(index: Items, texts: list[str | None]) -> list[dict]:
     """For each text, item -> (edits, first word, words) of its best match. Candidates that share most
     keys are verified first; the others of a document and item that matched without an edit are not."""
-    out: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+    out: list[dict] = [{} for _ in texts]
     split = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in split], dtype=np.int64)
     if sizes.sum() == 0 or not index.by_size:
@@ -202,7 +191,7 @@ def matches(index: Items, texts: list[str | None]) -> list[dict[int, tuple[int,
     ends = np.cumsum(sizes)
     found = index.candidates(number, np.repeat(ends, sizes))
     seen: set[tuple[int, int, int]] = set()
-    for start, k, offset in sorted(found, key=lambda c: (-found[c], c)):
+    for _, start, k, offset in sorted(found, key=lambda c: (-c[0], c)):
         d = int(np.searchsorted(ends, start, side="right"))
         at = start - int(ends[d] - sizes[d]) - offset  # where the item starts, but for edits before the piece
         if (d, k, at) in seen:
@@ -225,17 +214,32 @@ def matches(index: Items, texts: list[str | None]) -> list[dict[int, tuple[int,
     return out
 
 
-def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The query set in blocks of bounded size, one at a time, in order of item_id; one empty block if
-    there are no items."""
-    block: list[tuple[int, str]] = []
+def item_classes(items: DataFrame) -> DataFrame:
+    """(item_id, words, rep): the words of every item, joined by spaces, and the least id of the items that have
+    the same."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [" ".join(words_of(t)) for t in column_values(batch, "text")]
+            yield pa.record_batch([batch.column("item_id"), pa.array(words, pa.string())], names=["item_id", "words"])
+
+    own = items.select("item_id", "text").mapInArrow(split, "item_id long, words string").where("words <> ''")
+    least = own.groupBy(F.col("words").alias("w")).agg(F.min("item_id").alias("rep"))
+    return own.join(least, F.col("words") == F.col("w")).select("item_id", "words", "rep")
+
+
+def blocks(items: DataFrame) -> Iterator[list[tuple]]:
+    """The query set in blocks of bounded size, one at a time, in order of item_id: an item's id and number of
+    copies, and its words; one empty block if there are no items."""
+    block: list[tuple] = []
     chars = 0
-    for r in items.select("item_id", "text").where(F.length("text") > 0).orderBy("item_id", "text").toLocalIterator():
+    distinct = item_classes(items).groupBy("words").agg(F.min("rep").alias("item_id"), F.count("*").alias("copies"))
+    for r in distinct.orderBy("item_id", "words").toLocalIterator():
         if len(block) >= BLOCK_ITEMS or chars > BLOCK_CHARS:
             yield block
             block, chars = [], 0
-        block.append((r["item_id"], r["text"]))
-        chars += len(r["text"])
+        block.append(((r["item_id"], r["copies"]), r["words"]))
+        chars += len(r["words"])
     yield block
 
 
@@ -250,38 +254,38 @@ def _index(name: str, shared: Broadcast) -> Items:
     return _INDEXES[name]
 
 
-def _search(spark: SparkSession, docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+def _groups(batch: pa.RecordBatch) -> Iterator[list[str | None]]:
+    """A batch's texts, a bounded number of characters at a time."""
+    group, held = [], 0
+    for text in column_values(batch, "text"):
+        group.append(text)
+        held += len(text or "")
+        if held > 6 * GROUP_WORDS:
+            yield group
+            group, held = [], 0
+    yield group
+
+
+def _search(spark: SparkSession, docs: DataFrame, block: list[tuple]) -> DataFrame:
     shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(name, shared)
         for batch in batches:
-            rows, group, ids, held = [], [], [], 0
-
-            def close() -> None:
-                nonlocal held
-                for doc, found in zip(ids, matches(index, group)):
-                    rows.extend((doc, item, edits, at, n) for item, (edits, at, n) in found.items())
-                group.clear()
-                ids.clear()
-                held = 0
-
-            for doc, text in zip(batch.column("doc_id").to_pylist(), column_values(batch, "text")):
-                ids.append(doc)
-                group.append(text)
-                held += len(text or "")
-                if held > 6 * GROUP_WORDS:
-                    close()
-            close()
-            columns = list(zip(*rows)) if rows else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "edits", "first_word", "n_words"])
-
-    return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, item_id long, edits int, first_word long, n_words long")
+            ids, rows = iter(batch.column("doc_id").to_pylist()), []
+            for group in _groups(batch):
+                for found, doc in zip(matches(index, group), ids):
+                    rows.extend((doc, *item, *place) for item, place in found.items())
+            columns = list(zip(*rows)) if rows else [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "copies", "edits", "first_word", "n_words"])
+
+    return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, item_id long, copies long, edits int, first_word long, n_words long")
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, edits, first_word, n_words): each document and item that match, at their best."""
+    """(doc_id, item_id, copies, edits, first_word, n_words): each document and distinct item that match, at their
+    best; ``copies`` items have these words, of which item_id is the least."""
     found, rest = None, blocks(items)
     block = next(rest)
     while block is not None:
@@ -292,10 +296,23 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         found = part if found is None else found.unionByName(part)
         block = following
     best = F.min(F.struct("edits", "first_word", "n_words")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return found.groupBy("doc_id", "item_id", "copies").agg(best).select("doc_id", "item_id", "copies", "best.*")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; rows without a doc_id are judged like others."""
-    bad = leaks(docs, items).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__doc")), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item."""
+    kept, spark, rest = docs, docs.sparkSession, blocks(items)
+    block = next(rest)
+    while block is not None:
+        following = next(rest, None)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+        def start(shared: Broadcast = shared, name: str = name) -> Callable[[pa.RecordBatch], list[bool]]:
+            index = _index(name, shared)
+            return lambda batch: [not found for group in _groups(batch) for found in matches(index, group)]
+
+        kept = filtered(kept, start)
+        if following is not None:
+            kept = settle(kept, "clean")
+        block = following
+    return kept
