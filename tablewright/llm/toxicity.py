@@ -9,17 +9,20 @@ Training knows only document labels, so it is multi-instance: after a start in w
 documents count as toxic, each round scores all training windows and trains on the highest of each
 document. It uses a bounded sample of labelled rows: at most MOST_PER_CLASS documents a class and
 MOST_TRAIN_WORDS words a class, in order of a hash of doc_id, never rows held out (crc32 of doc_id as text,
-modulo 5, is 0). The model has a fixed size and is broadcast; scoring covers every row.
+modulo 5, is 0), one row a doc_id, none of over MOST_TRAIN_BYTES: what reaches the training task is bounded
+before it is shuffled. The model has a fixed size and is broadcast; scoring covers every row.
 
-Defined cases: texts without words score 0; a null doc_id counts as held out; without labelled rows of
-both classes every score is 0; repeated rows score alike; other columns are carried along by ``score``.
+Defined cases: texts without words score 0; a null doc_id counts as held out; of rows that share a labelled
+doc_id the one whose text has the least hash is learnt from; without labelled rows of both classes every score
+is 0; repeated rows score alike; letters of scripts without spaces are words; other columns are carried along
+by ``score`` and ``without_toxic``.
 """
 
 from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,16 +30,15 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import boxed, column_values, words_of
+from .common import added, column_values, filtered, words_of
 from .near_dup import mix
 
 WINDOW, STRIDE = 24, 12
 WORD_DIM = CHAR_DIM = HIDDEN = 8
 NGRAMS, BUCKETS = (3, 4, 5), 1 << 15
 LEAST_DOCS = 3
-MOST_PER_CLASS, MOST_TRAIN_WORDS = 1500, 500_000
+MOST_PER_CLASS, MOST_TRAIN_WORDS, MOST_TRAIN_BYTES = 1500, 500_000, 200_000
 MOST_KEPT = 250_000
 GROUP_WORDS = 100_000
 _U = np.uint64
@@ -336,24 +338,29 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for label in (0, 1):
         part = marked.where(F.col("toxic") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_PER_CLASS)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("place", F.xxhash64("doc_id"))
+    short = docs.select("doc_id", "text").where(F.octet_length("text") <= MOST_TRAIN_BYTES)
+    text = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    found = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(text)
+    return found.withColumn("place", F.xxhash64("doc_id"))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Trains in one task, where numerical libraries have a core each, over the bounded sample."""
+    """Trains in one task, where numerical libraries have a core each, over the bounded sample. Texts come in
+    order of their places and are let go of once a class has its words."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], [0, 0]
-        found = sorted((r["place"], r["doc_id"], r["text"] or "", r["toxic"]) for b in batches for r in b.to_pylist())
-        for _, _, text, label in found:
-            words = words_of(text)
-            if words and held[label] + len(words) <= MOST_TRAIN_WORDS:
-                rows.append((words, label))
-                held[label] += len(words)
+        for batch in batches:
+            for text, label in zip(column_values(batch, "text"), column_values(batch, "toxic")):
+                words = words_of(text)
+                if words and held[label] + len(words) <= MOST_TRAIN_WORDS:
+                    rows.append((words, label))
+                    held[label] += len(words)
         if len({label for _, label in rows}) == 2:
             yield pa.record_batch([pa.array([pickle.dumps(Trainer(rows).train())], pa.binary())], names=["model"])
 
-    made = training_rows(docs, labels).repartition(1).mapInArrow(train, "model binary").collect()  # one model, or none
+    order = ["place", "doc_id", "toxic"]
+    made = training_rows(docs, labels).repartition(1).sortWithinPartitions(*order).mapInArrow(train, "model binary").collect()  # one model, or none
     return pickle.loads(made[0]["model"]) if made else None
 
 
@@ -368,6 +375,18 @@ def _scorer(name: str, shared: Broadcast) -> Scorer:
     return _SCORERS[name]
 
 
+def _scored(scorer: Scorer, batch: pa.RecordBatch) -> np.ndarray:
+    """Scores of a batch's texts, a bounded number of words at a time."""
+    out, group, held = [], [], 0
+    for text in column_values(batch, "text"):
+        group.append(words_of(text))
+        held += len(group[-1])
+        if held > GROUP_WORDS:
+            out.append(scorer.scores(group))
+            group, held = [], 0
+    return np.concatenate([*out, scorer.scores(group)])
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with held_out, score and predicted; columns of those names are replaced."""
     docs = docs.drop("held_out", "score", "predicted")
@@ -376,20 +395,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     else:
         shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
-        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def start() -> Callable[[pa.RecordBatch], list[pa.Array]]:
             scorer = _scorer(name, shared)
-            for batch in batches:
-                out, group, held = [], [], 0
-                for text in column_values(batch, "text"):
-                    group.append(words_of(text))
-                    held += len(group[-1])
-                    if held > GROUP_WORDS:
-                        out.append(scorer.scores(group))
-                        group, held = [], 0
-                out.append(scorer.scores(group))
-                yield pa.record_batch([*batch.columns, pa.array(np.concatenate(out))], names=[*batch.schema.names, "score"])
-
-        scored = docs.mapInArrow(read, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+            return lambda batch: [pa.array(_scored(scorer, batch))]
+
+        scored = added(docs, "score double", start)
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
@@ -402,5 +412,10 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = trained(docs, labels)
     if model is None:
         return docs
-    marked = score(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("__row", "doc_id", "text"), model)
-    return marked.where("predicted = 0").select("__row.*")
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def start() -> Callable[[pa.RecordBatch], list[bool]]:
+        scorer = _scorer(name, shared)
+        return lambda batch: (_scored(scorer, batch) < 0.5).tolist()
+
+    return filtered(docs, start)

@@ -106,3 +106,21 @@ def test_scores_do_not_depend_on_the_batch():
     together = t.Scorer(model).scores([w for w, _ in docs])
     alone = [t.Scorer(model).scores([w])[0] for w, _ in docs]
     assert np.allclose(together, alone, atol=1e-6)
+
+
+def test_the_sample_has_one_short_row_an_id(spark):
+    docs = made(60)
+    rows = [d[:2] for d in docs] + [(docs[0][0], f"again {k}") for k in range(50)] + [(docs[1][0], "x " * t.MOST_TRAIN_BYTES)]
+    labels = spark.createDataFrame([(d[0], d[2]) for d in docs], "doc_id long, toxic int")
+    found = t.training_rows(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(found) == len({r["doc_id"] for r in found}) and max(len(r["text"]) for r in found) <= t.MOST_TRAIN_BYTES
+    assert {r["doc_id"] for r in found} == {d[0] for d in docs if zlib.crc32(str(d[0]).encode()) % 5}
+
+
+def test_clashing_columns(spark):
+    docs = made(80)
+    df = spark.createDataFrame([(*d[:2], 1, "r", 2.0) for d in docs], "doc_id long, text string, `a.b` int, row string, score double")
+    labels = spark.createDataFrame([(d[0], d[2]) for d in docs], "doc_id long, toxic int")
+    kept = t.without_toxic(df, labels)
+    assert kept.columns == df.columns and {(r["a.b"], r["row"], r["score"]) for r in kept.collect()} == {(1, "r", 2.0)}
+    assert t.score(df, None).columns == ["doc_id", "text", "a.b", "row", "score", "held_out", "predicted"]
