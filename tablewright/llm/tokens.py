@@ -2,7 +2,8 @@
 
 A byte-level BPE encodes each pre-token by itself, so the library is asked once for each distinct
 pre-token and texts are put together from those ids; texts with characters outside the plain set below,
-for which Python's and the library's character classes could differ, go to the library whole. The memo
+for which Python's and the library's character classes could differ, go to the library whole, as do texts
+that hold the string of one of the vocabulary's special tokens, which the library makes one id. The memo
 is cleared at MOST_KEPT pre-tokens, so a worker's memory is bounded.
 """
 
@@ -46,7 +47,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # the byte-level sign of a space
@@ -105,7 +107,7 @@ class Encoder:
             self._clear()
         number, at = self.memo.__getitem__, []
         for text in texts:
-            pieces = None if OTHER.search(text) else PIECES.findall(text)
+            pieces = None if OTHER.search(text) or self.special.search(text) else PIECES.findall(text)
             at.append(None if pieces is None else np.fromiter(map(number, pieces), dtype=np.int64, count=len(pieces)))
         if self.memo.new:
             self._learn()
