@@ -4,10 +4,13 @@ Law ``rows``: shard sizes differ by at most one. The rows of each scan partition
 row p of the matrix says how many rows of partition p go to each bin: a multivariate hypergeometric
 draw, so that all assignments of rows to bins of the given sizes are equally likely. The matrix is never
 held: every task redraws its own row by walking a binary tree over partitions, seeded per tree node, so
-the driver keeps one count a partition. Each task permutes its labels, rows are exchanged by bin, and a
-sort on a seeded hash permutes every bin again.
+the driver keeps one count a partition. Each task permutes its labels, rows are exchanged by bin, each bin to
+its own reducer, and a sort on a seeded hash permutes every bin again. Python sees ordinals and gives labels;
+rows stay in the JVM and are exchanged once.
 
-A shard is made of several bins of bounded size, so no task ever holds a whole shard.
+A shard is made of several bins of bounded rows and bytes, so no task ever holds a whole shard. Counting and
+dealing are two reads that must see the same partitions; an input with an exchange of its own, where they could
+differ, is written first.
 
 Defined cases: null texts have size 1; repeated rows are separate rows; an empty table gives no rows;
 other columns are carried along (columns named shard or slot are replaced).
@@ -19,14 +22,16 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ROWS_PER_BIN = 65_536
+from .common import settle
+
+ROWS_PER_BIN, BYTES_PER_BIN = 65_536, 64_000_000
 LEAST_BINS_PER_SHARD = 8
+#: Fixed value: bits of the ordinal in monotonically_increasing_id; the partition is above them.
+ORDINAL_BITS = 33
 
 
 def even_sizes(total: int, parts: int) -> np.ndarray:
@@ -73,47 +78,54 @@ def matrix_row(counts: np.ndarray, bins: np.ndarray, p: int, seed: int) -> np.nd
     return have
 
 
-def shard_rows(docs: DataFrame, n_shards: int = 8, seed: int = 7, rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
+def _bytes(docs: DataFrame) -> Column:
+    """About the size of a row: 16 bytes and its texts."""
+    texts = [F.coalesce(F.octet_length(docs[f"`{f.name}`"]), F.lit(0)).cast("long") for f in docs.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    return sum(texts, F.lit(16).cast("long"))
+
+
+def _first_slot(bin_: Column, total: int, n_shards: int, per_shard: int) -> Column:
+    """Slots before a bin in its shard: those of even_sizes, as arithmetic."""
+    shard, place = F.floor(bin_ / per_shard), bin_ % per_shard
+    size = F.lit(total // n_shards) + F.when(shard < total % n_shards, 1).otherwise(0)
+    return place * F.floor(size / per_shard) + F.least(place, size % per_shard)
+
+
+def shard_rows(docs: DataFrame, n_shards: int = 8, seed: int = 7, rows_per_bin: int = ROWS_PER_BIN, bytes_per_bin: int = BYTES_PER_BIN) -> DataFrame:
     """``docs`` with shard (0 to n_shards - 1) and slot (gapless from 0 within a shard)."""
-    spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
-    seen = docs.groupBy(F.spark_partition_id().alias("p")).count().collect()  # one number a partition
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = settle(docs, "dealt")
+    sized = docs.select(F.spark_partition_id().alias("p"), _bytes(docs).alias("bytes"))
+    seen = sized.groupBy("p").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()  # two numbers a partition
     counts = np.zeros(max([r["p"] for r in seen], default=0) + 1, dtype=np.int64)
     for r in seen:
-        counts[r["p"]] = r["count"]
+        counts[r["p"]] = r["n"]
     total = int(counts.sum())
-    shards = even_sizes(total, n_shards)
-    per_shard = max(LEAST_BINS_PER_SHARD, math.ceil(total / n_shards / rows_per_bin))
-    bins = np.concatenate([even_sizes(int(s), per_shard) for s in shards])
-    before = np.concatenate([np.cumsum(np.concatenate([[0], b[:-1]])) for b in bins.reshape(n_shards, per_shard)])
-    shared = spark.sparkContext.broadcast((counts, bins))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, bins = shared.value
-        p, at, labels = TaskContext.get().partitionId(), 0, None
-        for batch in batches:
-            if labels is None:
-                labels = np.repeat(np.arange(len(bins)), matrix_row(counts, bins, p, seed))
+    wanted = max(total / rows_per_bin, sum(r["bytes"] for r in seen) / bytes_per_bin)
+    per_shard = max(LEAST_BINS_PER_SHARD, math.ceil(wanted / n_shards))
+    bins = np.concatenate([even_sizes(int(s), per_shard) for s in even_sizes(total, n_shards)])
+    shared = docs.sparkSession.sparkContext.broadcast((counts, bins))
+
+    @F.arrow_udf("int")
+    def deal(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        (counts, bins), labels, p = shared.value, None, 0
+        for some in ids:
+            some = some.to_numpy(zero_copy_only=False)
+            if labels is None and len(some):
+                p = int(some[0] >> ORDINAL_BITS)
+                labels = np.repeat(np.arange(len(bins), dtype=np.int32), matrix_row(counts, bins, p, seed))
                 np.random.default_rng([seed, p, 1 << 20]).shuffle(labels)
-            batch["__bin"] = labels[at : at + len(batch)].astype(np.int32)
-            batch["__ord"] = (np.int64(p) << 40) + np.arange(at, at + len(batch), dtype=np.int64)
-            at += len(batch)
-            yield batch
-        if labels is not None and at != len(labels):
-            raise RuntimeError(f"partition {p} has {at} rows now and had {len(labels)} when counted")
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("__bin", T.IntegerType()), T.StructField("__ord", T.LongType())])
-    dealt = docs.mapInPandas(deal, schema)
-    within = Window.partitionBy("__bin").orderBy(F.xxhash64(F.lit(seed), "__ord"), "__ord")
-    first_slot = F.array(*[F.lit(int(x)) for x in before]) if len(before) <= 4096 else None
-    if first_slot is None:
-        table = spark.createDataFrame([(i, int(x)) for i, x in enumerate(before)], "__bin int, __first long")
-        dealt = dealt.join(table, "__bin")
-        start = F.col("__first")
-    else:
-        start = F.get(first_slot, F.col("__bin"))
-    out = dealt.withColumn("slot", (F.row_number().over(within) - 1 + start).cast("long"))
-    return out.withColumn("shard", F.floor(F.col("__bin") / per_shard).cast("int")).select(*docs.columns, "shard", "slot")
+            at = some & ((1 << ORDINAL_BITS) - 1)
+            if len(at) and at[-1] >= len(labels):
+                raise RuntimeError(f"partition {p} has more than the {len(labels)} rows that were counted")
+            yield pa.array(labels[at] if len(at) else [], pa.int32())
+
+    rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("ord"))
+    dealt = rows.withColumn("bin", deal("ord")).repartitionById(len(bins), "bin")
+    within = Window.partitionBy("bin").orderBy(F.xxhash64(F.lit(seed), "ord"), "ord")
+    slot = F.row_number().over(within) - 1 + _first_slot(F.col("bin"), total, n_shards, per_shard)
+    return dealt.select("row", slot.cast("long").alias("slot"), F.floor(F.col("bin") / per_shard).cast("int").alias("shard")).select("row.*", "shard", "slot")
 
 
 def digest(docs: DataFrame) -> DataFrame:

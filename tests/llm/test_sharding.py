@@ -47,3 +47,40 @@ def test_empty_and_tiny_tables(spark):
     assert sharding.digest(empty).count() == 0
     one = sharding.digest(spark.createDataFrame([(None, "a")], "doc_id long, text string")).collect()
     assert [(r["shard"], r["slot"]) for r in one] == [(0, 0)]
+
+
+def test_ids_and_columns_come_back_as_they_were(spark):
+    rows = [(2**60 + 1, "a"), (2**60 + 3, "b"), (None, "c"), (None, None)]
+    columns = "doc_id long, text string, __bin long, __ord long, bin int, `ord` int, row string, `a.b` long, shard int"
+    df = spark.createDataFrame([(*r, None if i else 2**60 + 5, 1, 2, 3, "r", None if i else 2**61 + 1, 9) for i, r in enumerate(rows)], columns).coalesce(1)
+    out = sharding.shard_rows(df)
+    assert out.columns == [*df.columns[:-1], "shard", "slot"]
+    found = out.collect()
+    assert {r["doc_id"] for r in found} == {d for d, _ in rows} and {r["__bin"] for r in found} == {None, 2**60 + 5}
+    assert {r["a.b"] for r in found} == {None, 2**61 + 1}
+
+
+def test_bins_are_bounded_in_bytes_and_slots_stay_gapless(spark):
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(500)], "doc_id long, text string").repartition(3)
+    rows = sharding.shard_rows(df, n_shards=3, bytes_per_bin=10_000).collect()
+    for shard in range(3):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert slots == list(range(len(slots))) and len(slots) in (166, 167)
+
+
+def test_against_labels_dealt_in_one_place(spark):
+    """Every row gets the label that the matrix and the permutations give it, by brute force over partitions."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id")
+    n = df.count()
+    per_shard, sizes = sharding.LEAST_BINS_PER_SHARD, sharding.even_sizes(n, 8)
+    bins = np.concatenate([sharding.even_sizes(int(s), per_shard) for s in sizes])
+    from pyspark.sql import functions as F
+
+    placed = [(r["p"], r["doc_id"]) for r in df.select(F.spark_partition_id().alias("p"), "doc_id").collect()]
+    counts = np.bincount([p for p, _ in placed])
+    expected = {}
+    for p in range(len(counts)):
+        labels = np.repeat(np.arange(len(bins)), sharding.matrix_row(counts, bins, p, 7))
+        np.random.default_rng([7, p, 1 << 20]).shuffle(labels)
+        expected.update({d: int(b) // per_shard for (_, d), b in zip([x for x in placed if x[0] == p], labels)})
+    assert {r["doc_id"]: r["shard"] for r in sharding.shard_rows(df).collect()} == expected
