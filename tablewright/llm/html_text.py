@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+
+from .common import added, column_values
 
 #: Element names of HTML by their part in a page.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -35,8 +36,11 @@ FURNITURE_WORDS = frozenset(
 )
 ARTICLE_WORDS = frozenset("content article-body articlebody article-content entry-content post-content post-body story-body main-content maincontent".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|$)""", re.I)
+STRUCTURE = frozenset("article main body".split())
+TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9:_-]*")
+EDGE = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+LONG_REFERENCE = re.compile(r"&#[0-9]{8,};?")
 PART = re.compile(r"[\s_]+|-")
 
 
@@ -64,81 +68,142 @@ def _marks(attributes: str) -> tuple[bool, bool]:
             article |= value in ("main", "article")
         elif name == "style":
             furniture |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-        elif name == "hidden" or value == "true":
+        elif name == "hidden" or name == "aria-hidden" and value == "true":
             furniture = True
     return furniture and not article, article
 
 
+class Markup:
+    """A page's tokens, each character looked at a bounded number of times."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.blind = False  # a quote in some tag is never closed: from there on quotes hide no ">"
+        self.absent: set[str] = set()  # elements without a further end tag
+
+    def _end(self, at: int) -> int:
+        """Where the tag that began before ``at`` ends, after its ">"; -1 if nowhere."""
+        page, place = self.page, at
+        while not self.blind:
+            edge = EDGE.search(page, place)
+            if not edge:
+                break
+            if edge.group() == ">":
+                return edge.end()
+            place = page.find(edge.group(), edge.end()) + 1
+            if not place:
+                break
+        self.blind = True
+        return page.find(">", at) + 1 or -1
+
+    def tokens(self) -> Iterator[tuple[str, bool, str, str]]:
+        """(name, whether it closes, attributes, text): tags by their names in lower case, text without one."""
+        page, at, end = self.page, 0, len(self.page)
+        last = page.rfind(">")
+        while at < end:
+            mark = page.find("<", at)
+            if mark < 0 or mark > last and not page.startswith("<!--", mark):
+                yield "", False, "", page[at:]
+                return
+            if mark > at:
+                yield "", False, "", page[at:mark]
+            at = mark
+            tag = TAG.match(page, at)
+            if tag:
+                close = self._end(tag.end())
+                if close < 0:
+                    yield "", False, "", page[at:]
+                    return
+                closing = page[at + 1] == "/"
+                name, attributes, at = tag.group()[1 + closing :].lower(), page[tag.end() : close - 1], close
+                if name in UNREAD and not closing and not attributes.rstrip().endswith("/"):
+                    at = self._after(name, at)
+                elif name not in UNREAD:
+                    yield name, closing, attributes, ""
+                continue
+            for opening, ending in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")):
+                if page.startswith(opening, at):
+                    close = page.find(ending, at + len(opening))
+                    if opening == "<![CDATA[":
+                        yield "", False, "", page[at + 9 : close if close >= 0 else end].replace("&", "&amp;")
+                    at = close + len(ending) if close >= 0 else end
+                    break
+            else:
+                yield "", False, "", "<"
+                at += 1
+
+    def _after(self, name: str, at: int) -> int:
+        """Where reading goes on after an element whose content is not read."""
+        if name not in self.absent:
+            close = re.compile(rf"</{name}\s*>", re.I).search(self.page, at)
+            if close:
+                return close.end()
+            self.absent.add(name)
+        return len(self.page) if name in ("script", "style", "textarea", "title") else at
+
+
+def _plain(text: str) -> str:
+    """``text`` with its character references decoded; numbers past any character are the replacement sign."""
+    return html.unescape(LONG_REFERENCE.sub("\ufffd", text) if "&#" in text else text) if "&" in text else text
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open element, in furniture, in article
+    places: dict[str, list[int]] = {}  # where on the stack a name is open
+    held: list[int] = []  # where on the stack what holds the article is open
     texts: list[str] = []
     link_texts: list[str] = []
-    state = {"links": 0, "breaks": 0}
+    in_link, breaks = False, 0
 
-    def flush(heading: bool = False) -> None:
+    def flush() -> None:
+        nonlocal breaks
         text = " ".join("".join(texts).split())
         if text:
             n, linked = len(text.split()), len(" ".join(link_texts).split())
-            _, furniture, article = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, n, min(1.0, linked / n), furniture, article, heading))
+            name, furniture, article = stack[-1] if stack else ("", False, False)
+            out.append(Block(text, n, min(1.0, linked / n), furniture, article, name in HEADING))
         texts.clear()
         link_texts.clear()
-        state["breaks"] = 0
+        breaks = 0
 
-    def add(text: str) -> None:
-        if text:
-            plain = html.unescape(text) if "&" in text else text
+    def pop() -> None:
+        name = stack.pop()[0]
+        places[name].pop()
+        if name in STRUCTURE:
+            held.pop()
+
+    for name, closing, attributes, text in Markup(page).tokens():
+        if not name:
+            plain = _plain(text)
             texts.append(plain)
-            if state["links"]:
+            if in_link:
                 link_texts.append(plain)
             if not plain.isspace():
-                state["breaks"] = 0
-
-    at, end = 0, len(page)
-    while at < end:
-        found = TOKEN.search(page, at)
-        if not found:
-            add(page[at:])
-            break
-        add(page[at : found.start()])
-        at = found.end()
-        closing, name, attributes = found.groups()
-        if name is None:
-            if found.group().startswith("<![CDATA["):
-                add(found.group()[9:-3])
-            continue
-        name = name.lower()
-        if name in UNREAD:
-            if not closing and not attributes.rstrip().endswith("/"):
-                close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = close.end() if close else (end if name in ("script", "style", "textarea", "title") else at)
+                breaks = 0
             continue
         if name == "br":
             texts.append(" ")
-            state["breaks"] += 1
-            if state["breaks"] > 1:
-                flush(bool(stack) and stack[-1][0] in HEADING)
+            breaks += 1
+            if breaks > 1:
+                flush()
             continue
         if name == "a":
-            state["links"] = 0 if closing else 1
+            in_link = not closing
         block = name in BLOCK
         if block:
-            flush(bool(stack) and stack[-1][0] in HEADING)
-            state["links"] = 0
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("article", "main", "body") and name not in ("html", "body", "main"):
-                    break  # a stray end tag does not close what holds the article
+            flush()
+            in_link = False
+        if closing:  # a stray end tag does not close what holds the article
+            if places.get(name) and (name in ("html", "body", "main") or not held or places[name][-1] >= held[-1]):
+                for _ in range(len(stack) - places[name][-1]):
+                    pop()
             continue
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
         if name in SOLE and stack and stack[-1][0] == name:
-            stack.pop()
+            pop()
         furniture, article = _marks(attributes) if attributes else (False, False)
         if name in ("body", "html"):
             furniture = False
@@ -146,6 +211,9 @@ def blocks(page: str) -> list[Block]:
         in_article |= article or name in ARTICLE
         furniture |= name in FURNITURE or name == "header" and not in_article
         if block or furniture or article:
+            places.setdefault(name, []).append(len(stack))
+            if name in STRUCTURE:
+                held.append(len(stack))
             stack.append((name, in_furniture or furniture, in_article))
     flush()
     return out
@@ -308,14 +376,15 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``pages`` with text and n_chars; columns of those names are replaced."""
-    pages = pages.drop("text", "n_chars")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(p) for p in batch.column("html").to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names, "text", "n_chars"])
+    def start() -> Callable[[pa.RecordBatch], list[pa.Array]]:
+        def read(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = [main_text(p) for p in column_values(batch, "html", 64)]
+            return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+
+        return read
 
-    return pages.mapInArrow(read, T.StructType([*pages.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return added(pages, "text string, n_chars long", start)
 
 
 def digest(pages: DataFrame) -> DataFrame:
