@@ -11,7 +11,8 @@ document through a broadcast of that bounded list.
 
 Defined cases: a null or empty text is one empty line; a null doc_id neither owns nor loses lines;
 rows that share a doc_id are one document for ownership, so neither drops the other's lines; repeated
-rows get the same bitmap; columns other than doc_id and text are carried along untouched.
+rows get the same bitmap; columns other than doc_id and text are carried along untouched, but n_lines and
+n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -74,12 +75,17 @@ def _bits(runs: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the dropped lines gone from text, plus n_lines and n_dropped."""
-    marks = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("n_dropped").alias("__gone"), _bits(F.col("runs")).alias("__bits"))
-    joined = docs.join(marks, (docs["doc_id"] == F.col("__doc")) & (_text_mark(docs["text"]) == F.col("__mark")), "left")
-    kept = F.filter(split_lines(docs["text"]), lambda _, i: F.substring(F.col("__bits"), i + 1, F.lit(1)) != F.lit(b"0"))
-    out = joined.withColumn("n_lines", F.size(split_lines(docs["text"])).cast("long")).withColumn("n_dropped", F.coalesce("__gone", F.lit(0).cast("long")))
-    return out.withColumn("text", F.when(F.col("__gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))).drop("__doc", "__mark", "__gone", "__bits")
+    """``docs`` with the dropped lines gone from text, plus n_lines and n_dropped, which replace columns of those
+    names."""
+    docs = docs.drop("n_lines", "n_dropped")
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"], _text_mark(docs["text"]).alias("mark"))
+    marks = bitmaps.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "n_dropped", _bits(F.col("runs")).alias("bits"))
+    joined = rows.join(marks, (F.col("doc_id") == F.col("d")) & (F.col("mark") == F.col("m")), "left")
+    lines = split_lines(F.col("row.text"))
+    kept = F.filter(lines, lambda _, i: F.substring(F.col("bits"), i + 1, F.lit(1)) != F.lit(b"0"))
+    text = F.when(F.col("n_dropped").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    gone = F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped")
+    return joined.select(F.col("row").withField("text", text).alias("row"), F.size(lines).cast("long").alias("n_lines"), gone).select("row.*", "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:

@@ -58,3 +58,12 @@ def test_empty_tables_and_clashing_columns(spark):
     out = line_dedup.dedup_lines(df).orderBy("doc_id").collect()
     assert [(r["text"], r["runs"]) for r in out] == [("some long line", 5), ("", 6)]
     assert line_dedup.digest(df.withColumn("text", F.lit(None).cast("string"))).select("n_lines").distinct().collect()[0][0] == 1
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a line that is long enough\nx", 1, 2, 3, 4, 5), (2, "a line that is long enough\ny", 1, 2, 3, 4, 5), (None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __doc int, mark int, row int, `a.b` int, n_lines int")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "__doc", "mark", "row", "a.b", "n_lines", "n_dropped"]
+    found = {r["doc_id"]: (r["text"], r["n_dropped"], r["n_lines"], r["mark"], r["a.b"]) for r in out.collect()}
+    assert found == {1: (rows[0][1], 0, 2, 2, 4), 2: ("y", 1, 2, 2, 4), None: (None, 0, 1, None, None)}
