@@ -123,3 +123,15 @@ def column_values(batch: pa.RecordBatch, name: str, some: int = 256) -> Iterator
     column = batch.column(name)
     for at in range(0, len(column), some):
         yield from column.slice(at, some).to_pylist()
+
+
+def grouped(batch: pa.RecordBatch, name: str, chars: int) -> Iterator[list[str]]:
+    """A column's texts (null: empty) in lists that close once they hold more than ``chars`` characters."""
+    group, held = [], 0
+    for text in column_values(batch, name, 64):
+        group.append(text or "")
+        held += len(group[-1])
+        if held > chars:
+            yield group
+            group, held = [], 0
+    yield group

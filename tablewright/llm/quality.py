@@ -3,31 +3,32 @@
 A document first meets base rules over its words; what passes is measured with a public vocabulary with
 byte fallback: characters per token, share of byte-fallback tokens, and entropy of its tokens in bits.
 A document is kept if all three lie within the bands of its language, or where that has none, of its
-script, which is the script most of its letters belong to. A language's bands hold only for its script. Short texts have little room for entropy, so the entropy band is a share of the most
-that so many tokens could have.
+script, which is the script most of its letters belong to. A language's bands hold only for its script. Short
+texts have little room for entropy, so the entropy band is a share of the most that so many tokens could have.
 
-Defined cases: a null or empty text has no words, fails the base rules and is not kept; ``lang``
-may be missing, null, unknown or of another script, and then the script's bands hold; repeated rows are judged alike; other columns are carried along by
-``judge``.
+Defined cases: a null or empty text has no words, fails the base rules and is not kept; ``lang`` may be missing,
+null, unknown or of another script, and then the script's bands hold; repeated rows are judged alike; other
+columns are carried along by ``judge``.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
+from .common import added, grouped
 from .tokens import tokenizer_path
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEAT = 5, 10, 20
+GROUP_CHARS = 200_000
 
 
 @dataclass(frozen=True)
@@ -132,18 +133,16 @@ class Fertility:
 
     def measure(self, texts: list[str]) -> Iterator[tuple[float, float, float]]:
         """Characters per token, byte-fallback share, entropy as a share of the most possible."""
-        for at in range(0, len(texts), 64):
-            some = texts[at : at + 64]
-            for text, found in zip(some, self.model.encode(some, num_threads=1)):
-                ids = np.asarray(found, dtype=np.int64)
-                if len(ids) == 0:
-                    yield 0.0, 0.0, 0.0
-                    continue
-                counts = np.bincount(ids)
-                counts = counts[counts > 0]
-                entropy = math.log2(len(ids)) - float((counts * np.log2(counts)).sum()) / len(ids)
-                most = math.log2(min(len(ids), 400)) if len(ids) > 1 else 1.0
-                yield len(text) / len(ids), float(self.byte[ids].mean()), entropy / most
+        for text, found in zip(texts, self.model.encode(texts, num_threads=1)):
+            ids = np.asarray(found, dtype=np.int64)
+            if len(ids) == 0:
+                yield 0.0, 0.0, 0.0
+                continue
+            counts = np.bincount(ids)
+            counts = counts[counts > 0]
+            entropy = math.log2(len(ids)) - float((counts * np.log2(counts)).sum()) / len(ids)
+            most = math.log2(min(len(ids), 400)) if len(ids) > 1 else 1.0
+            yield len(text) / len(ids), float(self.byte[ids].mean()), entropy / most
 
 
 def within(text: str, chars: float, share: float, entropy: float, bands: dict[str, Band], lang: str | None = None) -> bool:
@@ -168,24 +167,25 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 def judge(docs: DataFrame, vocabulary: str | None = None, bands: dict[str, Band] | None = None) -> DataFrame:
     """``docs`` with MEASURES; columns of those names are replaced."""
     vocabulary, bands = vocabulary or tokenizer_path("piece_bpe_32k.model"), bands or BANDS
-    names = [x.split()[0] for x in MEASURES.split(", ")]
-    docs = docs.drop(*names)
     spoken = dict(docs.dtypes).get("lang") == "string"
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[pa.RecordBatch], list[pa.Array]]:
         model = _model(vocabulary)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            langs = batch.column("lang").to_pylist() if spoken else [None] * len(texts)
-            rows = []
-            for text, lang, m in zip(texts, langs, model.measure(texts)):
-                found = base(text)
-                rows.append((*found, not found[-1] and within(text, *m, bands, lang), *m))
-            columns = list(zip(*rows)) if rows else [()] * len(names)
+
+        def measure(batch: pa.RecordBatch) -> list[pa.Array]:
+            langs = batch.column("lang").to_pylist() if spoken else [None] * len(batch)
+            rows, at = [], 0
+            for texts in grouped(batch, "text", GROUP_CHARS):
+                for text, m in zip(texts, model.measure(texts)):
+                    found = base(text)
+                    rows.append((*found, not found[-1] and within(text, *m, bands, langs[at]), *m))
+                    at += 1
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 3
-            yield pa.record_batch([*batch.columns, *[pa.array(list(c), k) for c, k in zip(columns, kinds)]], names=[*batch.schema.names, *names])
+            return [pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
+
+        return measure
 
-    return docs.mapInArrow(measure, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(MEASURES).fields]))
+    return added(docs, MEASURES, start)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,10 @@
+import math
 import random
+from collections import Counter
 
+import duckdb
 import pytest
+import sentencepiece
 
 from tablewright.llm import quality
 
@@ -68,3 +72,49 @@ def test_low_quality_rows_are_rejected(spark):
     rows = [r for r in quality.digest(spark.read.parquet(f"{path}/documents.parquet")).collect() if r["doc_id"] in labels and not r["base_failed"]]
     kept = lambda label: [r["kept"] for r in rows if labels[r["doc_id"]] == label]
     assert sum(kept(0)) <= 0.3 * len(kept(0)) and sum(kept(1)) >= 0.95 * len(kept(1))
+
+
+def judged_by_brute_force(text, lang):
+    """All measures of a row by plain loops over characters, lines and tokens."""
+    text, space = text or "", " \t\n\x0b\x0c\r"
+    words = "".join(" " if c in space else c for c in text).split(" ")
+    words = [w for w in words if w]
+    lines = [x for x in text.split("\n") if x.strip(space)]
+    repeat = brute_repeat(words)
+    failed = len(words) < 10 or 100 * repeat > 20 * len(words)
+    model = sentencepiece.SentencePieceProcessor(model_file=quality.tokenizer_path("piece_bpe_32k.model"))
+    ids = model.encode(text, num_threads=1)
+    counts = Counter(ids)
+    entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in counts.values())
+    share = entropy / math.log2(min(len(ids), 400)) if len(ids) > 1 else 0.0
+    band = quality.BANDS.get(f"latin/{lang}", quality.BANDS["latin"])
+    fits = bool(ids) and band.low <= len(text) / len(ids) <= band.high and sum(map(model.is_byte, ids)) / len(ids) <= band.bytes_share and share >= band.entropy
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), repeat, failed, not failed and fits
+
+
+def test_the_query_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    expected = {r["doc_id"]: judged_by_brute_force(r["text"], r["lang"]) for r in docs.collect()}
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert {r["doc_id"]: tuple(r[n] for n in names) for r in quality.digest(docs).collect()} == expected
+
+
+def test_base_columns_against_sql(spark):
+    found = quality.digest(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    sql = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM '/root/testdata/sf0.01/documents.parquet'),
+    w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+                 list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d)
+    SELECT doc_id, len(ws), coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT,
+           length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')), len(ls) - len(list_distinct(ls)) FROM w"""
+    expected = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    assert {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) for r in found} == expected
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(4)
+    long = " ".join(rng.choice(["ander", "oporse", "tiun", "voma"]) + str(rng.randrange(9)) for _ in range(400_000))
+    df = spark.createDataFrame([(1, long, 1, 2), (None, None, None, None)], "doc_id long, text string, row int, `a.b` int")
+    out = quality.judge(df)
+    assert out.columns[:4] == df.columns
+    assert {(r["doc_id"], r["n_words"], r["a.b"]) for r in out.collect()} == {(1, 400_000, 2), (None, 0, None)}
