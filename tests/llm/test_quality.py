@@ -104,8 +104,8 @@ def test_base_columns_against_sql(spark):
     sql = r"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM '/root/testdata/sf0.01/documents.parquet'),
     w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-                 list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d)
-    SELECT doc_id, len(ws), coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT,
+                 list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d)
+    SELECT doc_id, len(ws), coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT,
            length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')), len(ls) - len(list_distinct(ls)) FROM w"""
     expected = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
     assert {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) for r in found} == expected
