@@ -9,9 +9,10 @@ so many equal stretches of it, as a key, TABLES keys a walk, WALKS walks; window
 are candidates, and a candidate counts only if the whole item is within MOST_EDITS of its length of some
 stretch of the text around it, by exact edit distance (of words).
 
-Before a window is embedded, one necessary condition is checked for all window positions at once: at most
-so many edits leave at least size - edits of its words in the items' vocabulary, so windows with fewer
-cannot match and are not embedded. It loses nothing.
+Before a window is embedded, one necessary condition is checked for all window positions at once: an edit
+destroys or pushes out at most two of an item's pairs of neighbouring words, so a window with less than
+size - 1 - 2 x edits pairs of the items' cannot match and is not embedded. It loses nothing; pairs are looked
+up by hash, and a collision only lets a window pass.
 
 Items are a stated query set. Items of equal words are one: it has the least of their ids and their number,
 and ``item_classes`` tells which ids it stands for. They go to the executors in blocks of at most BLOCK_ITEMS
@@ -35,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_values, filtered, settle, words_of
+from .common import column_values, filtered, grouped, settle, words_of
 from .near_dup import mix, word_hashes
 
 MOST_EDITS = 0.1
@@ -43,7 +44,7 @@ WALKS, TABLES, SAMPLED = 8, 8, 5
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 LEAST_WORDS = 5
 PIECE = 16
-GROUP_WORDS = 400_000
+GROUP_CHARS = 2_400_000
 _U = np.uint64
 
 
@@ -117,6 +118,13 @@ def edit_distance(item: list[str], text: list[str]) -> tuple[int, int]:
     return best, end
 
 
+def pairs_of(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of neighbouring words along the last axis; of single words where items have but one."""
+    if size < 2:
+        return mix(words)
+    return mix(words[..., :-1] * _U(0x9E3779B97F4A7C15) + words[..., 1:])
+
+
 class Items:
     """An index over one block of items: their words' numbers, and LSH tables for each window size. Words
     that no item has count as one word, as none of them equals an item's."""
@@ -139,15 +147,17 @@ class Items:
             sizes.setdefault(size, []).extend((k, o) for o in offsets)
             most[size] = max(most.get(size, 0), edits)
         for size, members in sorted(sizes.items()):
-            flat, starts = np.concatenate([self.numbers(self.items[k][1][o : o + size]) for k, o in members]), np.arange(len(members)) * size
-            known = np.zeros(self.other + 1, dtype=bool)
-            known[flat] = True
+            flat = self.hashes[np.concatenate([self.numbers(self.items[k][1][o : o + size]) for k, o in members])]
+            starts = np.arange(len(members)) * size
+            bits = min(24, max(14, (16 * len(flat)).bit_length()))
+            known = np.zeros(1 << bits, dtype=bool)
+            known[(pairs_of(flat.reshape(-1, size), size) >> _U(64 - bits)).astype(np.int64)] = True
             tables = []
             for seed in range(WALKS):
-                for found in keys_of(self.hashes[flat], starts, size, seed):
+                for found in keys_of(flat, starts, size, seed):
                     order = np.argsort(found, kind="stable")
                     tables.append((found[order], order))
-            self.by_size[size] = {"edits": most[size], "known": known, "tables": tables, "members": np.array(members)}
+            self.by_size[size] = {"edits": most[size], "known": known, "bits": bits, "tables": tables, "members": np.array(members)}
 
     def numbers(self, words: list[str]) -> np.ndarray:
         get, other = self.number.get, self.other
@@ -158,9 +168,11 @@ class Items:
         are the documents' words one after another, ``ends`` is for each position its document's end."""
         words = self.hashes[number]
         known, places = np.zeros(len(number) + 1, dtype=np.int32), np.arange(len(number))
+        pairs = {1: pairs_of(words, 1), 2: np.append(pairs_of(words, 2), _U(0))}
         for size, index in self.by_size.items():
-            np.cumsum(index["known"][number], out=known[1:])
-            starts = np.flatnonzero(known[np.minimum(places + size, ends)] - known[:-1] >= size - index["edits"])
+            np.cumsum(index["known"][(pairs[min(size, 2)] >> _U(64 - index["bits"])).astype(np.int64)], out=known[1:])
+            within = max(size - 1, 1)
+            starts = np.flatnonzero(known[np.minimum(places + within, ends)] - known[:-1] >= within - 2 * index["edits"])
             members = index["members"]
             for at in range(0, len(starts), 20_000):
                 some, hits = starts[at : at + 20_000], []
@@ -174,8 +186,8 @@ class Items:
                             run = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
                             hits.append(np.repeat(hit, n) * len(members) + order[run])
                 if hits:
-                    pairs, shared = np.unique(np.concatenate(hits), return_counts=True)
-                    start, member = np.divmod(pairs, len(members))
+                    found, shared = np.unique(np.concatenate(hits), return_counts=True)
+                    start, member = np.divmod(found, len(members))
                     yield from zip(shared.tolist(), some[start].tolist(), members[member, 0].tolist(), members[member, 1].tolist())
 
 
@@ -254,18 +266,6 @@ def _index(name: str, shared: Broadcast) -> Items:
     return _INDEXES[name]
 
 
-def _groups(batch: pa.RecordBatch) -> Iterator[list[str | None]]:
-    """A batch's texts, a bounded number of characters at a time."""
-    group, held = [], 0
-    for text in column_values(batch, "text"):
-        group.append(text)
-        held += len(text or "")
-        if held > 6 * GROUP_WORDS:
-            yield group
-            group, held = [], 0
-    yield group
-
-
 def _search(spark: SparkSession, docs: DataFrame, block: list[tuple]) -> DataFrame:
     shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
@@ -273,7 +273,7 @@ def _search(spark: SparkSession, docs: DataFrame, block: list[tuple]) -> DataFra
         index = _index(name, shared)
         for batch in batches:
             ids, rows = iter(batch.column("doc_id").to_pylist()), []
-            for group in _groups(batch):
+            for group in grouped(batch, "text", GROUP_CHARS):
                 for found, doc in zip(matches(index, group), ids):
                     rows.extend((doc, *item, *place) for item, place in found.items())
             columns = list(zip(*rows)) if rows else [()] * 6
@@ -309,7 +309,7 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def start(shared: Broadcast = shared, name: str = name) -> Callable[[pa.RecordBatch], list[bool]]:
             index = _index(name, shared)
-            return lambda batch: [not found for group in _groups(batch) for found in matches(index, group)]
+            return lambda batch: [not found for group in grouped(batch, "text", GROUP_CHARS) for found in matches(index, group)]
 
         kept = filtered(kept, start)
         if following is not None:
