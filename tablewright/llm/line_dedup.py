@@ -74,18 +74,34 @@ def _bits(runs: Column) -> Column:
     return F.array_join(F.transform(runs, lambda n, i: F.repeat(F.when(i % 2 == 0, "1").otherwise("0"), n)), "").cast("binary")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the dropped lines gone from text, plus n_lines and n_dropped, which replace columns of those
-    names."""
-    docs = docs.drop("n_lines", "n_dropped")
+def _applied(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(row, text, n_lines, n_dropped): whole rows, and what their bitmaps make of their texts."""
     rows = docs.select(F.struct("*").alias("row"), docs["doc_id"], _text_mark(docs["text"]).alias("mark"))
     marks = bitmaps.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "n_dropped", _bits(F.col("runs")).alias("bits"))
     joined = rows.join(marks, (F.col("doc_id") == F.col("d")) & (F.col("mark") == F.col("m")), "left")
     lines = split_lines(F.col("row.text"))
     kept = F.filter(lines, lambda _, i: F.substring(F.col("bits"), i + 1, F.lit(1)) != F.lit(b"0"))
     text = F.when(F.col("n_dropped").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
-    gone = F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped")
-    return joined.select(F.col("row").withField("text", text).alias("row"), F.size(lines).cast("long").alias("n_lines"), gone).select("row.*", "n_lines", "n_dropped")
+    gone = F.coalesce("n_dropped", F.lit(0).cast("long"))
+    return joined.select("row", text.alias("text"), F.size(lines).cast("long").alias("n_lines"), gone.alias("n_dropped"))
+
+
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``docs`` with the dropped lines gone from text, plus n_lines and n_dropped, which replace columns of those
+    names."""
+    made = _applied(docs.drop("n_lines", "n_dropped"), bitmaps)
+    return made.select(F.col("row").withField("text", F.col("text")).alias("row"), "n_lines", "n_dropped").select("row.*", "n_lines", "n_dropped")
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
+    """``docs`` with texts that have lost the lines an earlier document holds; where there is a column n_chars, it
+    follows the text. A document that loses all its lines stays, empty."""
+    made = _applied(docs, keep_bitmaps(docs, min_chars))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        chars = F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("row.n_chars"))
+        row = row.withField("n_chars", chars.cast(docs.schema["n_chars"].dataType))
+    return made.select(row.alias("row")).select("row.*")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
