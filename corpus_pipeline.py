@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tablewright.llm import decontaminate, line_dedup, near_dup, packing, toxicity
 from tablewright.llm.common import settle, table
@@ -17,13 +16,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; a document that loses all its lines stays, empty.
     n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    chars = F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return line_dedup.without_repeated_lines(docs)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the least doc_id stays."""
+    """Of each near-duplicate class the document with the least doc_id stays; one of the rows without an id
+    stays in a class that has no other."""
     return near_dup.keep_one(docs)
 
 
