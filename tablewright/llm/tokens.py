@@ -18,7 +18,7 @@ import numpy as np
 END_ID = 2
 MOST_KEPT = 350_000
 #: The pre-token pattern of the byte-level vocabularies, for texts without other characters than PLAIN's.
-PIECES = re.compile(r" ?[^\W\d_]+| ?\d+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
 OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]")
 
 
