@@ -49,13 +49,13 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
         if not config.src or not config.dst:
             raise PlanError("src and dst are needed", argument=True)
         spark = spark or session()
-        src, dst = Side(spark, config.src), Side(spark, config.dst)
+        src, dst = Side(spark, config.src, config.snapshot), Side(spark, config.dst, config.snapshot and command == "diff")
         only, exclude = list(config.tables), list(config.exclude_tables)
         if command == "tables":
             print("\n".join(decide.common_tables(src.tables(), dst.tables(), only, exclude)), file=out)
             return 0
         if command == "diff":
-            results = sync.compare_sides(src, dst, only, exclude, config.spec)
+            results = sync.compare_sides(src, dst, only, exclude, config.spec, config.parallel)
             print((report.diff_json if config.json else report.diff_text)(results), file=out)
             return decide.exit_code(r.status for r in results)
         return _sync(src, dst, only, exclude, config, ask, out)
@@ -68,7 +68,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
 
 
 def _sync(src: Side, dst: Side, only: list[str], exclude: list[str], config: configs.Config, ask, out) -> int:
-    options = sync.SyncOptions(config.spec, not config.no_sync_schema, config.allow_row_rewrite, config.allow_structure_truncate, config.batch_size, config.sample_limit)
+    options = sync.SyncOptions(config.spec, not config.no_sync_schema, config.allow_row_rewrite, config.allow_structure_truncate, config.batch_size, config.sample_limit, config.parallel)
     plans = sync.plan_sync(src, dst, only, exclude, options)
     show = report.sync_text if not config.json else lambda p: report.sync_json(p, config.apply)
     if config.apply and any(p.status == decide.PLANNED for p in plans):

@@ -42,17 +42,19 @@ def group_verdicts(src: DataFrame, dst: DataFrame, unique: bool) -> DataFrame:
 
 def change_set(src: DataFrame, dst: DataFrame, a: TableSchema, b: TableSchema, key: list[str], options: Options = Options()) -> DataFrame:
     """(op, phase, address, row): deletes in phase 1, then inserts and updates. ``address`` is the
-    destination's raw key of updated and deleted rows, ``row`` the source's row of written ones."""
+    destination's raw key of updated and deleted rows, ``row`` the source's row of written ones. Each side is read
+    twice, for its groups' digests and for the rows that differ, which are written; operations come from those."""
     left, right = _canonical(src, a, key, options), _canonical(dst, b, key, options)
     verdicts = fixed(group_verdicts(left, right, a.key_unique and b.key_unique))
     row = F.struct(*[F.col(f"`{n}`") for n in a.names])
     address = F.struct(*[F.col(f"`{n}`") for n in key])
-    of = lambda df, *kinds: df.join(verdicts.where(F.col("verdict").isin(*kinds)).select("__key", "verdict"), "__key")
-    none = lambda c, df: F.lit(None).cast(df.select(c.alias("x")).schema["x"].dataType)
-    inserts = of(left, INSERT, "replace").select(F.lit(INSERT).alias("op"), F.lit(2).alias("phase"), none(address, dst).alias("address"), row.alias("row"))
-    deletes = of(right, DELETE, "replace").select(F.lit(DELETE).alias("op"), F.lit(1).alias("phase"), address.alias("address"), none(row, src).alias("row"))
-    held = right.select(F.col("__key").alias("__dkey"), address.alias("address"))
-    updates = of(left, UPDATE).join(held, F.col("__key") == F.col("__dkey")).select(F.lit(UPDATE).alias("op"), F.lit(2).alias("phase"), "address", row.alias("row"))
+    ours = fixed(left.join(verdicts.where(F.col("verdict") != DELETE), "__key").select("__key", "verdict", row.alias("row")))
+    theirs = fixed(right.join(verdicts.where(F.col("verdict") != INSERT), "__key").select("__key", "verdict", address.alias("address")))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    inserts = ours.where(F.col("verdict") != UPDATE).select(F.lit(INSERT).alias("op"), F.lit(2).alias("phase"), none(theirs, "address"), "row")
+    deletes = theirs.where(F.col("verdict") != UPDATE).select(F.lit(DELETE).alias("op"), F.lit(1).alias("phase"), "address", none(ours, "row"))
+    held = theirs.where(F.col("verdict") == UPDATE).select("__key", "address")
+    updates = ours.where(F.col("verdict") == UPDATE).join(held, "__key").select(F.lit(UPDATE).alias("op"), F.lit(2).alias("phase"), "address", "row")
     return inserts.unionByName(deletes).unionByName(updates)
 
 

@@ -31,6 +31,7 @@ class Spec:
     secure: bool = False
     hash: str = "xxhash64"
     options: Options = Options()
+    chunks_always: bool = False  # find the differing chunks even where the counts already differ
 
 
 @dataclass
@@ -44,8 +45,10 @@ class TableResult:
     src_fp: str = ""
     dst_fp: str = ""
     keyed: bool = False
-    diff_chunks: DataFrame | None = None  # chunk_id, src_n, dst_n
+    diff_chunks: DataFrame | None = None  # chunk_id, lo, hi, src_n, dst_n, src_digest, dst_digest
+    some: tuple[DataFrame, DataFrame] | None = None  # both sides' rows of differing chunks, with chunk_id
     rows: DataFrame | None = None  # kind, key, src, dst
+    truncated: bool = False  # there are more differing rows than are shown
     warnings: list[str] = field(default_factory=list)
 
 
@@ -116,16 +119,21 @@ def row_diff(src: DataFrame, dst: DataFrame, src_schema: TableSchema, dst_schema
 
 
 def multiset_diff(src: DataFrame, dst: DataFrame, src_schema: TableSchema, dst_schema: TableSchema, options: Options = Options()) -> DataFrame:
-    """(kind, row, src_n, dst_n) of canonical rows whose multiplicity differs; rows are counted map-side
-    before they are exchanged, so repeated rows cost one, and only those that differ are rendered."""
+    """(kind, row, src_n, dst_n) of canonical rows whose multiplicity differs. Rows are counted by two 64-bit
+    hashes of their payloads, map-side before they are exchanged, so what is exchanged is 32 bytes a distinct
+    row; only rows whose counts differ are met again, rendered and counted by themselves."""
 
-    def counted(df: DataFrame, schema: TableSchema, flag: int) -> DataFrame:
+    def marked(df: DataFrame, schema: TableSchema, flag: int) -> DataFrame:
         ready, at = staged(df, schema, options)
-        return ready.select(*[F.col(c) for c, _ in at.values()], F.lit(1 - flag).cast("long").alias("s"), F.lit(flag).cast("long").alias("d"))
-
-    left = counted(src, src_schema, 0)
-    names = [c for c in left.columns if c not in ("s", "d")]
-    folded = left.unionByName(counted(dst, dst_schema, 1)).groupBy(*names).agg(F.sum("s").alias("src_n"), F.sum("d").alias("dst_n")).where("src_n != dst_n")
+        payloads = [F.col(c) for c, _ in at.values()]
+        marks = [F.xxhash64(F.lit(k), *[x for p in payloads for x in (F.coalesce(F.octet_length(p), F.lit(-1)), p)]).alias(f"h{k}") for k in (1, 2)]
+        return ready.select(*payloads, *marks, F.lit(1 - flag).cast("long").alias("s"), F.lit(flag).cast("long").alias("d"))
+
+    both = marked(src, src_schema, 0).unionByName(marked(dst, dst_schema, 1))
+    names = [c for c in both.columns if c not in ("h1", "h2", "s", "d")]
+    counted = lambda df, *keys: df.groupBy(*keys).agg(F.sum("s").alias("src_n"), F.sum("d").alias("dst_n")).where("src_n != dst_n")
+    differ = fixed(counted(both, "h1", "h2").select("h1", "h2"))
+    folded = counted(both.join(differ, ["h1", "h2"], "left_semi"), *names)
     kind = F.when(F.col("dst_n") == 0, MISSING_DST).when(F.col("src_n") == 0, MISSING_SRC).otherwise(COUNT_DIFF)
     binary = {"BYTES"}
     row = F.concat_ws(" | ", *[F.coalesce(F.concat(F.lit("0x"), F.lower(F.hex(n))) if c.family in binary else F.col(n).cast("string"), F.lit("NULL")) for n, c in zip(names, src_schema.columns)])
@@ -159,16 +167,52 @@ def prepare(src: DataFrame, dst: DataFrame, a: TableSchema, b: TableSchema, spec
     return where(src, a), where(dst, b), a, b, keyed, warnings
 
 
-def chunked(src: DataFrame, dst: DataFrame, a: TableSchema, spec: Spec) -> tuple[DataFrame, DataFrame, int]:
-    """Both sides with chunk_id, planned on the source, and the number of chunks."""
+def chunk_plan(src: DataFrame, a: TableSchema, spec: Spec) -> chunking.IntegerPlan | chunking.RankedPlan | None:
+    """Chunks of the source by its key; None for an empty source."""
     key = list(a.key)
     if a.column(key[0]).family in ("INT", "UINT", "YEAR"):
-        plan = chunking.plan_integer(src, key[0], spec.chunk_size)
-        if plan is None:
-            return src.withColumn("chunk_id", F.lit(0).cast("long")), dst.withColumn("chunk_id", F.lit(0).cast("long")), 0
-        return src.withColumn("chunk_id", plan.chunk_id()), dst.withColumn("chunk_id", plan.chunk_id()), plan.chunks
-    bounds = fixed(chunking.plan_ranked(src, key, spec.chunk_size))
-    return chunking.ranked_chunk_id(src, key, bounds), chunking.ranked_chunk_id(dst, key, bounds), bounds.count()
+        return chunking.plan_integer(src, key[0], spec.chunk_size)
+    bounds = chunking.plan_ranked(src, key, spec.chunk_size)
+    n = bounds.count()
+    return chunking.RankedPlan(bounds, key, a, n) if n else None
+
+
+def with_chunk(df: DataFrame, plan: chunking.IntegerPlan | chunking.RankedPlan | None) -> DataFrame:
+    """``df`` with chunk_id; without a plan there is one chunk."""
+    if isinstance(plan, chunking.RankedPlan):
+        return chunking.ranked_chunk_id(df, plan.key, plan.table)
+    return df.withColumn("chunk_id", plan.chunk_id() if plan else F.lit(0).cast("long"))
+
+
+def chunked(src: DataFrame, dst: DataFrame, a: TableSchema, spec: Spec) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with chunk_id, planned on the source, and the number of chunks."""
+    plan = chunk_plan(src, a, spec)
+    return with_chunk(src, plan), with_chunk(dst, plan), plan.chunks if plan else 0
+
+
+#: Stretches of differing chunks that are said as key ranges; more are said as the one range that holds them.
+MOST_RANGES = 200
+
+
+def rows_of_chunks(df: DataFrame, plan: chunking.IntegerPlan | chunking.RankedPlan | None, diff_chunks: DataFrame) -> DataFrame:
+    """The rows of ``df`` in differing chunks, with chunk_id. Chunks are said as key ranges first, which a scan can
+    skip by, and then exactly, by a join."""
+    found = diff_chunks.select("chunk_id").orderBy("chunk_id").limit(MOST_RANGES + 1).collect()  # bounded
+    if plan is not None:
+        stretches = chunking.runs([r["chunk_id"] for r in found])
+        if len(found) > MOST_RANGES:
+            ends = diff_chunks.agg(F.min("chunk_id").alias("lo"), F.max("chunk_id").alias("hi")).first()
+            stretches = [(ends["lo"], ends["hi"])]
+        df = df.where(plan.within(stretches))
+    return with_chunk(df, plan).join(diff_chunks.select("chunk_id"), "chunk_id", "left_semi")
+
+
+def chunk_digests(src: DataFrame, dst: DataFrame, a: TableSchema, b: TableSchema, plan: chunking.IntegerPlan | chunking.RankedPlan | None, spec: Spec = Spec()) -> tuple[DataFrame, DataFrame]:
+    """(chunk_id, n, sum_h, xor_h, sumsq_h) of both sides, in one written job."""
+    hashes = (hashed(with_chunk(df, plan), s, spec.options, spec.hash) for df, s in ((src, a), (dst, b)))
+    left, right = (x.select(F.lit(side).alias("side"), "chunk_id", "h") for x, side in zip(hashes, ("src", "dst")))
+    digests = fixed(left.unionByName(right).groupBy("side", "chunk_id").agg(*digest.statistics(F.col("h"))))
+    return tuple(digests.where(F.col("side") == side).drop("side") for side in ("src", "dst"))
 
 
 def compare(name: str, src: DataFrame, dst: DataFrame, a: TableSchema, b: TableSchema, spec: Spec = Spec()) -> TableResult:
@@ -181,36 +225,36 @@ def compare(name: str, src: DataFrame, dst: DataFrame, a: TableSchema, b: TableS
         result.src_rows, result.dst_rows = n["src"], n["dst"]
         if result.src_rows != result.dst_rows:
             result.status = "DIFFERENT"
-            if not spec.drill:
+            if not (spec.drill or spec.chunks_always):
                 return result
-        if result.keyed:
-            left, right, result.chunks = chunked(src, dst, a, spec)
-        else:
-            left, right = (x.withColumn("chunk_id", F.lit(0).cast("long")) for x in (src, dst))
-            result.chunks = int(result.src_rows > 0)
-        left, right = hashed(left, a, spec.options, spec.hash), hashed(right, b, spec.options, spec.hash)
-        both = [x.select(F.lit(side).alias("side"), "chunk_id", "h") for x, side in ((left, "src"), (right, "dst"))]
-        digests = fixed(both[0].unionByName(both[1]).groupBy("side", "chunk_id").agg(*digest.statistics(F.col("h"))))  # both sides in one job
-        ours, theirs = (digests.where(F.col("side") == side).drop("side") for side in ("src", "dst"))
+        plan = chunk_plan(src, a, spec) if result.keyed else None
+        result.chunks = plan.chunks if plan else int(not result.keyed and result.src_rows > 0)
+        ours, theirs = chunk_digests(src, dst, a, b, plan, spec)
         result.src_fp, result.dst_fp = (digest.table_fingerprint(x, spec.secure).first()["fingerprint"] for x in (ours, theirs))
-        result.diff_chunks = fixed(digest.differing(ours, theirs))
-        if not result.diff_chunks.isEmpty():
+        differ = fixed(digest.differing(ours, theirs))
+        result.diff_chunks = plan.shown(differ) if plan else differ.withColumns({"lo": F.lit("-"), "hi": F.lit("-")})
+        if not differ.isEmpty():
             result.status = "DIFFERENT"
+            result.some = tuple(rows_of_chunks(x, plan, differ) for x in (src, dst))
             if spec.drill:
-                result.rows = drill(left, right, a, b, result, spec)
+                drill(a, b, result, spec)
     except schemas.PlanError as error:
         result.status, result.error = "ERROR", str(error)
     return result
 
 
-def drill(left: DataFrame, right: DataFrame, a: TableSchema, b: TableSchema, result: TableResult, spec: Spec) -> DataFrame:
-    """The first differing rows in order of their keys' text, from differing chunks only."""
-    some = F.broadcast(result.diff_chunks.select("chunk_id")) if result.chunks <= chunking.BROADCAST_BOUNDS else result.diff_chunks.select("chunk_id")
-    left, right = (x.join(some, "chunk_id", "left_semi").drop("h", "chunk_id") for x in (left, right))
+def drill(a: TableSchema, b: TableSchema, result: TableResult, spec: Spec) -> None:
+    """The first differing rows in order of their keys' text, from differing chunks only, and whether there are
+    more."""
+    left, right = (x.drop("chunk_id") for x in result.some)
     if result.keyed and a.key_unique and b.key_unique:
         found = row_diff(left, right, a, b, list(a.key), spec.options)
     else:
         found = multiset_diff(left, right, a, b, spec.options).select(
             "kind", F.lit("").alias("key"), F.concat("row", F.lit(" x"), "src_n").alias("src"), F.concat("row", F.lit(" x"), "dst_n").alias("dst")
         )
-    return found.orderBy("key", "kind", "src", "dst").limit(spec.drill_limit)
+    first = fixed(found.orderBy("key", "kind", "src", "dst").limit(spec.drill_limit + 1))
+    result.truncated = first.count() > spec.drill_limit
+    result.rows = first.orderBy("key", "kind", "src", "dst").limit(spec.drill_limit)
+    if result.truncated:
+        result.warnings.append(f"more rows differ than the {spec.drill_limit} shown")

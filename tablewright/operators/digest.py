@@ -1,14 +1,16 @@
 """Chunk digests and table fingerprints.
 
 Unordered digests are sums modulo 2^64 over row hashes, so they combine map-side and do not depend on
-partitions; ordered ones hash the row hashes of a chunk in key order, which bounds them to a chunk's rows.
+partitions. Ordered ones are trees of hashes: row hashes in key order, in blocks of BLOCK, then the blocks' hashes,
+so that no list is longer than a block however many rows a chunk has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK, LEVELS = 1024, 3
 TWO_32, TWO_64 = 1 << 32, 1 << 64
 
 
@@ -55,12 +57,23 @@ def chunk_digests(hashed: DataFrame) -> DataFrame:
     return hashed.groupBy("chunk_id").agg(*statistics(F.col("h")))
 
 
+def _folded(rows: DataFrame, group: list[str], place: str, text: str) -> DataFrame:
+    """(group, place, n, text): texts of one block of places joined in order and hashed."""
+    block = F.floor(F.col(place) / F.lit(BLOCK)).cast("long").alias(place)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(place, text))), lambda x: x[text])
+    return rows.groupBy(*group, block).agg(F.sum("n").alias("n"), F.md5(F.array_join(listed, ",").cast("binary")).alias(text))
+
+
 def ordered_digests(hashed: DataFrame, order: list[str]) -> DataFrame:
-    """(chunk_id, n, digest) from rows with chunk_id, h and ``order``: MD5 of the hashes in order; equal
-    keys are in order of their hashes."""
-    row = F.struct(*[F.col(k) for k in order], F.col("h"))
-    listed = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["h"].cast("string"))
-    return hashed.groupBy("chunk_id").agg(F.count("*").alias("n"), F.md5(F.array_join(listed, ",").cast("binary")).alias("digest"))
+    """(chunk_id, n, digest) from rows with chunk_id, h and ``order``. Rows are numbered in order, equal keys in
+    that of their hashes; the MD5 of a block's hashes, then of a block's MD5s, three levels high (2^30 rows a
+    chunk), then of what is left."""
+    ranks = Window.partitionBy("chunk_id").orderBy(*[F.col(k).asc_nulls_first() for k in order], "h")
+    rows = hashed.select("chunk_id", (F.row_number().over(ranks) - 1).cast("long").alias("place"), F.lit(1).cast("long").alias("n"), F.col("h").cast("string").alias("text"))
+    for _ in range(LEVELS):
+        rows = _folded(rows, ["chunk_id"], "place", "text")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
+    return rows.groupBy("chunk_id").agg(F.sum("n").alias("n"), F.md5(F.array_join(listed, ",").cast("binary")).alias("digest"))
 
 
 def table_fingerprint(digests: DataFrame, secure: bool = False) -> DataFrame:
@@ -76,10 +89,12 @@ def table_fingerprint(digests: DataFrame, secure: bool = False) -> DataFrame:
 
 
 def ordered_fingerprint(digests: DataFrame, secure: bool = False) -> DataFrame:
-    """(n, fingerprint) of ordered digests, in order of their chunks; one short text a chunk."""
-    listed = F.array_sort(F.collect_list(F.struct("chunk_id", F.concat_ws(":", F.col("n").cast("string"), "digest").alias("t"))))
-    text = F.array_join(F.transform(listed, lambda x: x["t"]), ",")
-    return digests.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.substring(F.md5(text.cast("binary")), 1, 32 if secure else 16).alias("fingerprint"))
+    """(n, fingerprint) of ordered digests, in order of their chunks, by the same tree over chunk ids."""
+    rows = digests.select(F.lit(0).alias("all"), F.col("chunk_id").alias("place"), "n", F.concat_ws(":", F.col("n").cast("string"), "digest").alias("text"))
+    for _ in range(LEVELS):
+        rows = _folded(rows, ["all"], "place", "text")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"), F.substring(F.md5(F.array_join(listed, ",").cast("binary")), 1, 32 if secure else 16).alias("fingerprint"))
 
 
 def signed(value: Column) -> Column:
@@ -87,13 +102,15 @@ def signed(value: Column) -> Column:
     return F.when(value >= _big(1 << 63), value.cast("decimal(38,0)") - _big(TWO_64)).otherwise(value.cast("decimal(38,0)")).cast("long")
 
 
-def hex_digest(n: Column, *parts: Column) -> Column:
-    """A digest for reports: sixteen hex digits a number."""
-    return F.concat_ws(":", *[F.lpad(F.lower(F.hex(signed(p.cast("decimal(20,0)")))), 16, "0") for p in (n, *parts)])
+def hex_digest(*parts: Column) -> Column:
+    """A digest for reports: sixteen hex digits a number, joined by colons; ``missing`` where the side has no row
+    in the chunk."""
+    text = F.concat_ws(":", *[F.lpad(F.lower(F.hex(signed(p.cast("decimal(20,0)")))), 16, "0") for p in parts])
+    return F.when(parts[0].isNull(), "missing").otherwise(text)
 
 
 def differing(src: DataFrame, dst: DataFrame) -> DataFrame:
-    """(chunk_id, src_n, dst_n) of chunks whose digests differ or that only one side has."""
+    """(chunk_id, src_n, dst_n, src_digest, dst_digest) of chunks whose digests differ or that only one side has."""
     stats = [c for c in src.columns if c != "chunk_id"]
     a = src.select(F.col("chunk_id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in stats])
     b = dst.select(F.col("chunk_id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in stats])
@@ -101,4 +118,5 @@ def differing(src: DataFrame, dst: DataFrame) -> DataFrame:
     same = F.lit(True)
     for c in stats:
         same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
-    return joined.where(~same).select(F.coalesce("a_id", "b_id").alias("chunk_id"), F.coalesce("a_n", F.lit(0)).alias("src_n"), F.coalesce("b_n", F.lit(0)).alias("dst_n"))
+    text = [hex_digest(*[F.col(f"{side}_{c}") for c in stats]).alias(name) for side, name in (("a", "src_digest"), ("b", "dst_digest"))]
+    return joined.where(~same).select(F.coalesce("a_id", "b_id").alias("chunk_id"), F.coalesce("a_n", F.lit(0)).alias("src_n"), F.coalesce("b_n", F.lit(0)).alias("dst_n"), *text)

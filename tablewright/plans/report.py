@@ -5,16 +5,24 @@ from __future__ import annotations
 import json
 
 from ..operators.diff import TableResult
+from . import structure
 from .sync import TableSync
 
 #: Report fields that stand for what is shown of a sync plan.
 SYNC_FIELDS = ("name", "mode", "src_rows", "dst_rows", "inserts", "updates", "deletes", "status", "error", "verified")
 
 
-def _chunks(result: TableResult) -> list[dict]:
+#: Differing chunks that a report lists; their number is reported beside.
+MOST_CHUNKS = 1000
+
+
+def _chunks(result: TableResult) -> tuple[list[dict], int]:
+    """The first differing chunks, with their bounds and both sides' digests, and how many there are."""
     if result.diff_chunks is None:
-        return []
-    return [r.asDict() for r in result.diff_chunks.orderBy("chunk_id").collect()]  # one a differing chunk
+        return [], 0
+    found = result.diff_chunks.orderBy("chunk_id").limit(MOST_CHUNKS).collect()  # bounded
+    listed = [{"id": r["chunk_id"], "lo": r["lo"], "hi": r["hi"], "src": r["src_digest"], "dst": r["dst_digest"], "src_rows": r["src_n"], "dst_rows": r["dst_n"]} for r in found]
+    return listed, len(listed) if len(listed) < MOST_CHUNKS else result.diff_chunks.count()
 
 
 def _rows(result: TableResult) -> list[dict]:
@@ -22,10 +30,11 @@ def _rows(result: TableResult) -> list[dict]:
 
 
 def diff_json(results: list[TableResult]) -> str:
-    tables = [
-        {"name": r.name, "src_rows": r.src_rows, "dst_rows": r.dst_rows, "status": r.status, "error": r.error, "chunks": r.chunks, "diff_chunks": _chunks(r), "src_fp": r.src_fp, "dst_fp": r.dst_fp, "rows": _rows(r), "warnings": r.warnings}
-        for r in results
-    ]
+    tables = []
+    for r in results:
+        chunks, n = _chunks(r)
+        plain = {k: getattr(r, k) for k in ("name", "src_rows", "dst_rows", "status", "error", "chunks", "src_fp", "dst_fp", "truncated", "warnings")}
+        tables.append(plain | {"diff_chunks": chunks, "diff_chunk_count": n, "rows": _rows(r)})
     same = sum(r.status == "OK" for r in results)
     return json.dumps({"ok": same == len(results), "summary": {"total": len(results), "ok": same}, "tables": tables}, indent=2, default=str)
 
@@ -35,14 +44,16 @@ def diff_text(results: list[TableResult]) -> str:
     for r in results:
         lines.append(f"{r.status:<10} {r.name}: {r.src_rows} rows, {r.dst_rows} on the destination" + f" ({r.error})" * bool(r.error))
         lines += [f"  warning: {w}" for w in r.warnings]
-        lines += [f"  chunk {c['chunk_id']}: {c['src_n']} rows, {c['dst_n']} on the destination" for c in _chunks(r)]
+        chunks, n = _chunks(r)
+        lines += [f"  chunk {c['id']} [{c['lo']}, {c['hi']}]: {c['src_rows']} rows, {c['dst_rows']} on the destination" for c in chunks]
+        lines += [f"  and {n - len(chunks)} more chunks"] * (n > len(chunks))
         lines += [f"  {x['kind']} {x['key']}: {x['src']} / {x['dst']}" for x in _rows(r)]
     same = sum(r.status == "OK" for r in results)
     return "\n".join([*lines, f"{same} of {len(results)} tables are the same"])
 
 
 def sync_json(plans: list[TableSync], applied: bool) -> str:
-    tables = [{k: getattr(p, k) for k in SYNC_FIELDS} | {"schema_changed": bool(p.schema_sql), "schema_sql": p.schema_sql, "state_changed": bool(p.state_sql), "state_sql": p.state_sql, "state_note": p.state_note, "sample_sql": sample_sql(p)} for p in plans]
+    tables = [{k: getattr(p, k) for k in SYNC_FIELDS} | {"schema_changed": bool(p.schema_sql), "schema_sql": p.schema_sql, "destructive_sql": [x for x in p.schema_sql if structure.destructive(x)], "state_verified": p.state_verified, "state_changed": bool(p.state_sql), "state_sql": p.state_sql, "state_note": p.state_note, "sample_sql": sample_sql(p)} for p in plans]
     return json.dumps({"ok": all(p.status != "FAILED" for p in plans), "applied": applied, "summary": {"total": len(plans)}, "tables": tables}, indent=2, default=str)
 
 

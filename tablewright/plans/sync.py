@@ -7,8 +7,11 @@ show, writes each table as one new version, and compares again.
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,7 @@ class SyncOptions:
     allow_structure_truncate: bool = False
     batch_size: int = 1000
     sample_limit: int = 5
+    parallel: int = 1
 
 
 @dataclass
@@ -47,6 +51,7 @@ class TableSync:
     schema_sql: list[str] = field(default_factory=list)
     state_sql: list[str] = field(default_factory=list)
     state_note: str = ""
+    state_verified: bool = False
     sample: DataFrame | None = None
     changes: DataFrame | None = None
     scope: decide.Scope = decide.Scope()
@@ -94,7 +99,7 @@ def plan_table(src: Side, dst: Side, table: str, options: SyncOptions = SyncOpti
 
 def _plan_rows(src: DataFrame, dst: DataFrame, a: TableSchema, b: TableSchema, options: SyncOptions, out: TableSync) -> TableSync:
     spec = options.spec
-    result = diff.compare(out.name, src, dst, a, b, spec)
+    result = diff.compare(out.name, src, dst, a, b, replace(spec, chunks_always=True, drill=False))
     out.src_rows, out.dst_rows, out.warnings = result.src_rows, result.dst_rows, result.warnings
     a, b = _keyed(a, b, spec)
     plan = decide.decide(result.status, result.error, _facts(a, b), spec.where)
@@ -109,15 +114,19 @@ def _plan_rows(src: DataFrame, dst: DataFrame, a: TableSchema, b: TableSchema, o
     elif plan.mode == decide.FULL:
         out.status, out.inserts, out.deletes, out.scope = decide.PLANNED, out.src_rows, out.dst_rows, decide.Scope(full=True)
     else:
-        _plan_row_level(src, dst, a, b, options, out)
+        _plan_row_level(src, dst, a, b, options, out, result)
     return out
 
 
-def _plan_row_level(src: DataFrame, dst: DataFrame, a: TableSchema, b: TableSchema, options: SyncOptions, out: TableSync) -> None:
+def _plan_row_level(src: DataFrame, dst: DataFrame, a: TableSchema, b: TableSchema, options: SyncOptions, out: TableSync, result: diff.TableResult) -> None:
+    """Row work on the differing chunks only: the comparison of the same rows just before has proved the others
+    equal. Plan and comparison are one pass over one version, so no planned chunk can be stale; an apply decides
+    anew and refuses what goes beyond the confirmed scope."""
     spec = options.spec
     src, dst, a, b, _, _ = diff.prepare(src, dst, a, b, spec)
     key = list(a.key)
-    out.changes = fixed(ops.change_set(src, dst, a, b, key, spec.options))
+    some = [x.drop("chunk_id") for x in result.some] if result.some else [src, dst]
+    out.changes = fixed(ops.change_set(*some, a, b, key, spec.options))
     n = {r["op"]: r["n"] for r in ops.op_counts(out.changes).collect()}
     out.inserts, out.updates, out.deletes, out.status = n.get(ops.INSERT, 0), n.get(ops.UPDATE, 0), n.get(ops.DELETE, 0), decide.PLANNED
     empty = out.src_rows == 0 and out.dst_rows > 0
@@ -210,8 +219,9 @@ def _apply_state(src: Side, writer: Writer, now: TableSync, options: SyncOptions
     if done:
         auto = next(c.name for c in a.columns if c.auto_increment)
         counter = schemas.auto_increment_next(rows, auto, a.auto_increment_counter).first()["next_value"]
-        writer.files.write(f"{dst.root}/{table}/_schema.json", replace(b, auto_increment_counter=counter).to_json())
+        writer.put_schema(table, replace(b, auto_increment_counter=counter))
         now.state_sql = done
+    now.state_verified = not _state(rows, dst.read(table), a, dst.schema(table), options.spec)[0]
 
 
 def _apply_structure(src: Side, writer: Writer, table: str, a: TableSchema, options: SyncOptions) -> None:
@@ -227,9 +237,10 @@ def _write_rows(src: Side, writer: Writer, now: TableSync, a: TableSchema, optio
     dst, table = writer.side, now.name
     theirs = dst.schema(table)
     if now.mode == decide.FULL:
-        kept = [c for c in dst.read(table).columns]
-        rows = src.read(table)
-        writer.put(table, rows.select(*[c if c in rows.columns else F.lit(None).alias(c) for c in kept]), theirs)
+        current, rows = dst.read(table), src.read(table)
+        ignored = {n.lower() for n in options.spec.ignore}
+        own = lambda f: F.lit(theirs.column(f.name).default).cast(f.dataType).alias(f.name)
+        writer.put(table, rows.select(*[F.col(f"`{f.name}`") if f.name in rows.columns and f.name.lower() not in ignored else own(f) for f in current.schema.fields]), theirs)
     elif now.changes is not None:
         current = dst.read(table)
         names = [f.name for f in now.changes.schema["row"].dataType.fields]
@@ -243,13 +254,23 @@ def _write_rows(src: Side, writer: Writer, now: TableSync, a: TableSchema, optio
     return now
 
 
+def each(side: Side, items: list, parallel: int, work: Callable[[int, object], object]) -> list:
+    """``work`` on each item (its number from 1, and itself), up to ``parallel`` at a time, results in order."""
+    if parallel <= 1 or len(items) <= 1:
+        return [work(i, x) for i, x in enumerate(items, 1)]
+    with ThreadPoolExecutor(min(parallel, len(items))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(side.spark)(work), i, x) for i, x in enumerate(items, 1)]]
+
+
 def plan_sync(src: Side, dst: Side, only: list[str] | None = None, exclude: list[str] | None = None, options: SyncOptions = SyncOptions()) -> list[TableSync]:
     """Plans of all tables; tables that only the destination has are dropped in a sync of everything."""
     wanted, drops = decide.sync_tables(src.tables(), dst.tables(), only or [], exclude or [], options.spec.where)
-    out = []
-    for i, t in enumerate(wanted, 1):
+
+    def plan(i: int, t: str) -> TableSync:
         progress(src, f"plan {t} ({i} of {len(wanted)})")
-        out.append(plan_table(src, dst, t, options))
+        return plan_table(src, dst, t, options)
+
+    out = each(src, wanted, options.parallel, plan)
     if options.sync_schema:
         out += [TableSync(t, decide.DROP, decide.PLANNED, dst_rows=dst.read(t).count(), schema_sql=[f"DROP TABLE {structure.quote_identifier(t)}"], scope=decide.Scope(ddl=True)) for t in drops]
     return out
@@ -273,14 +294,15 @@ def apply_sync(src: Side, dst: Side, plans: list[TableSync], options: SyncOption
     return out
 
 
-def compare_sides(src: Side, dst: Side, only: list[str] | None = None, exclude: list[str] | None = None, spec: diff.Spec = diff.Spec()) -> list[diff.TableResult]:
-    """Compares the tables that both sides have."""
+def compare_sides(src: Side, dst: Side, only: list[str] | None = None, exclude: list[str] | None = None, spec: diff.Spec = diff.Spec(), parallel: int = 1) -> list[diff.TableResult]:
+    """Compares the tables that both sides have, ``parallel`` of them at a time."""
     names = decide.common_tables(src.tables(), dst.tables(), only or [], exclude or [])
-    out = []
-    for i, t in enumerate(names, 1):
+
+    def one(i: int, t: str) -> diff.TableResult:
         progress(src, f"diff {t} ({i} of {len(names)})")
-        out.append(diff.compare(t, src.read(t), dst.read(t), src.schema(t), dst.schema(t), spec))
-    return out
+        return diff.compare(t, src.read(t), dst.read(t), src.schema(t), dst.schema(t), spec)
+
+    return each(src, names, parallel, one)
 
 
 def progress(side: Side, text: str) -> None:
@@ -289,9 +311,4 @@ def progress(side: Side, text: str) -> None:
     print(text, file=sys.stderr)
 
 
-def replan_stale(result: diff.TableResult, planned: list[int]) -> bool:
-    """Whether planned chunks no longer exist, so that all chunks must be looked at again."""
-    return any(c >= result.chunks for c in planned)
-
-
 __all__ = ["SyncOptions", "TableSync", "apply_sync", "apply_table", "chunking", "compare_sides", "plan_sync", "plan_table"]

@@ -217,7 +217,7 @@ STEPS = f"""facts AS (
 @query(f"WITH {STEPS} SELECT CAST(k AS BIGINT) AS chunk_id, CAST(lo + k * step AS BIGINT) AS lo, CAST(least(hi, lo + (k + 1) * step - 1) AS BIGINT) AS hi FROM plan, unnest(range(CAST(chunks AS BIGINT))) AS t(k)")
 def chunk_plan_int(spark, d):
     plan = chunking.plan_integer(table(spark, d, "orders"), "o_orderkey", CHUNK)
-    return spark.createDataFrame(plan.bounds(), "chunk_id long, lo long, hi long")
+    return plan.bounds(spark)
 
 
 IDS = "CAST(greatest(0, least(chunks - 1, (o_orderkey - lo) // step)) AS BIGINT) AS chunk_id"
@@ -294,6 +294,11 @@ def _hashed_sql(name: str) -> str:
     return f"SELECT *, CAST('0x' || substr(md5({_orders_row()}), 1, 16) AS UBIGINT) AS h FROM {name}"
 
 
+def _hex_sql(side: str) -> str:
+    shown = " || ':' || ".join(f"lpad(lower(to_hex(CAST({side}.{c} AS UBIGINT))), 16, '0')" for c in ("n", "sum_h", "xor_h", "sumsq_h"))
+    return f"CASE WHEN {side}.n IS NULL THEN 'missing' ELSE {shown} END"
+
+
 SQUARE = "((h & 4294967295)::UHUGEINT * (h & 4294967295) + ((((h >> 32)::UHUGEINT * (h & 4294967295) * 2) % 4294967296) * 4294967296)) % 18446744073709551616"
 STATISTICS = f"count(*) AS n, CAST(sum(h::HUGEINT) % 18446744073709551616 AS VARCHAR) AS sum_h, CAST(bit_xor(h) AS VARCHAR) AS xor_h, CAST(sum(CAST({SQUARE} AS HUGEINT)) % 18446744073709551616 AS VARCHAR) AS sumsq_h"
 
@@ -311,8 +316,8 @@ def chunk_digest_unordered(spark, d):
 
 
 @query(f"""WITH {DST_ORDERS}, {STEPS}, s AS (SELECT {IDS}, {STATISTICS} FROM ({_hashed_sql('orders')}), plan GROUP BY 1), t AS (SELECT {IDS}, {STATISTICS} FROM ({_hashed_sql('dst')}), plan GROUP BY 1)
-SELECT coalesce(s.chunk_id, t.chunk_id) AS chunk_id, coalesce(s.n, 0) AS src_n, coalesce(t.n, 0) AS dst_n FROM s FULL JOIN t ON s.chunk_id = t.chunk_id
-WHERE (s.n, s.sum_h, s.xor_h, s.sumsq_h) IS DISTINCT FROM (t.n, t.sum_h, t.xor_h, t.sumsq_h)""")
+SELECT coalesce(s.chunk_id, t.chunk_id) AS chunk_id, coalesce(s.n, 0) AS src_n, coalesce(t.n, 0) AS dst_n, {_hex_sql('s')} AS src_digest, {_hex_sql('t')} AS dst_digest
+FROM s FULL JOIN t ON s.chunk_id = t.chunk_id WHERE (s.n, s.sum_h, s.xor_h, s.sumsq_h) IS DISTINCT FROM (t.n, t.sum_h, t.xor_h, t.sumsq_h)""")
 def differing_chunks(spark, d):
     return digest.differing(*_digests(spark, d)[1])
 
@@ -330,7 +335,17 @@ def table_fingerprint_secure(spark, d):
 
 
 SIGNED = "CASE WHEN h >= 9223372036854775808 THEN CAST(h::HUGEINT - 18446744073709551616 AS VARCHAR) ELSE CAST(h AS VARCHAR) END"
-ORDERED = f"WITH {STEPS}, hashed AS ({_hashed_sql('orders')}), chunked AS (SELECT {IDS}, count(*) AS n, md5(string_agg({SIGNED}, ',' ORDER BY o_orderkey)) AS digest FROM hashed, plan GROUP BY 1)"
+
+
+def _tree_sql(name: str, group: str) -> str:
+    """CTEs that fold (group, place, n, text) of ``name`` to the table ``name``_3."""
+    level = lambda k: f"{name}_{k + 1} AS (SELECT {group}, place // {digest.BLOCK} AS place, sum(n) AS n, md5(string_agg(text, ',' ORDER BY place)) AS text FROM {name}_{k} GROUP BY ALL)"
+    return ", ".join(level(k) for k in range(digest.LEVELS))
+
+
+ORDERED = f"""WITH {STEPS}, hashed AS ({_hashed_sql('orders')}),
+  r_0 AS (SELECT {IDS}, row_number() OVER (PARTITION BY greatest(0, least(chunks - 1, (o_orderkey - lo) // step)) ORDER BY o_orderkey) - 1 AS place, 1 AS n, {SIGNED} AS text FROM hashed, plan),
+  {_tree_sql('r', 'chunk_id')}, chunked AS (SELECT chunk_id, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(text, ',' ORDER BY place)) AS digest FROM r_3 GROUP BY 1)"""
 
 
 @query(f"{ORDERED} SELECT chunk_id, n, digest FROM chunked")
@@ -338,7 +353,8 @@ def chunk_digest_ordered(spark, d):
     return digest.ordered_digests(_digests(spark, d)[0][0], ["o_orderkey"])
 
 
-@query(f"{ORDERED} SELECT CAST(sum(n) AS BIGINT) AS n, substr(md5(string_agg(n || ':' || digest, ',' ORDER BY chunk_id)), 1, 16) AS fingerprint FROM chunked")
+@query(f"""{ORDERED}, c_0 AS (SELECT 0 AS one, chunk_id AS place, n, n || ':' || digest AS text FROM chunked), {_tree_sql('c', 'one')}
+SELECT CAST(sum(n) AS BIGINT) AS n, substr(md5(string_agg(text, ',' ORDER BY place)), 1, 16) AS fingerprint FROM c_3""")
 def table_fingerprint_ordered(spark, d):
     return digest.ordered_fingerprint(digest.ordered_digests(_digests(spark, d)[0][0], ["o_orderkey"]))
 

@@ -1,9 +1,10 @@
 """Sides: directories of Parquet tables with sidecars, and versioned tables that are replaced at once.
 
 A plain table is ``<root>/<name>.parquet`` (a file or a folder) with an optional sidecar
-``<root>/<name>.schema.json``. A versioned table is ``<root>/<name>/v=<n>`` with a pointer file
-``<root>/<name>/_current``; writing makes a new version and then swaps the pointer, so readers see the old
-table or the new one and never a part. All file access goes through Hadoop's file systems, so a side may
+``<root>/<name>.schema.json``. A versioned table is ``<root>/<name>/v=<n>``, which holds its own schema, with a
+pointer file ``<root>/<name>/_current``; writing makes a new version and then swaps the pointer, so readers see
+the old table and schema or the new ones and never a part. A side with a snapshot keeps the version of each
+table that it met first. All file access goes through Hadoop's file systems, so a side may
 lie in any store that Spark reads.
 """
 
@@ -52,9 +53,10 @@ class Files:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if fs.exists(place):
-            fs.delete(place, False)
-        fs.rename(other, place)
+        hadoop = self.jvm.org.apache.hadoop.fs
+        overwrite = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        overwrite[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(place.toUri(), self.spark._jsc.hadoopConfiguration()).rename(other, place, overwrite)
 
     def delete(self, path: str) -> None:
         fs, place = self._at(path)
@@ -67,9 +69,14 @@ class Side:
 
     spark: SparkSession
     root: str
+    snapshot: bool = False
 
     def __post_init__(self) -> None:
         self.files = Files(self.spark)
+        self.pinned: dict[str, str] = {}
+        if self.snapshot:
+            for table in self.tables():
+                self.path(table)
 
     def tables(self) -> list[str]:
         out = []
@@ -84,8 +91,13 @@ class Side:
         return self.files.exists(f"{self.root}/{table}.parquet") or self.files.exists(f"{self.root}/{table}/_current")
 
     def path(self, table: str) -> str:
+        if table in self.pinned:
+            return self.pinned[table]
         pointer = f"{self.root}/{table}/_current"
-        return f"{self.root}/{table}/{self.files.read(pointer).strip()}" if self.files.exists(pointer) else f"{self.root}/{table}.parquet"
+        found = f"{self.root}/{table}/{self.files.read(pointer).strip()}" if self.files.exists(pointer) else f"{self.root}/{table}.parquet"
+        if self.snapshot:
+            self.pinned[table] = found
+        return found
 
     def read(self, table: str) -> DataFrame:
         """A snapshot: the version that is current now, whatever is written later."""
@@ -93,7 +105,7 @@ class Side:
 
     def schema(self, table: str) -> TableSchema:
         """The sidecar's schema, else one from the table's types; with its key selected."""
-        for path in (f"{self.root}/{table}/_schema.json", f"{self.root}/{table}.schema.json"):
+        for path in (f"{self.path(table)}/_schema.json", f"{self.root}/{table}.schema.json"):
             if self.files.exists(path):
                 return select_key(TableSchema.from_json(self.files.read(path)))
         return introspect(self.read(table), table)
@@ -116,11 +128,16 @@ class Writer:
         base, version = f"{self.side.root}/{table}", self._next(table)
         rows.write.parquet(f"{base}/{version}")
         if schema is not None:
-            self.files.write(f"{base}/_schema.json", schema.to_json())
+            self.files.write(f"{base}/{version}/_schema.json", schema.to_json())
         self.files.write(f"{base}/_current", version)
 
+    def put_schema(self, table: str, schema: TableSchema) -> None:
+        """Replaces what is known of a table beside its rows."""
+        versioned = self.files.exists(f"{self.side.root}/{table}/_current")
+        self.files.write(f"{self.side.path(table)}/_schema.json" if versioned else f"{self.side.root}/{table}.schema.json", schema.to_json())
+
     def truncate(self, table: str) -> None:
-        self.put(table, self.side.read(table).limit(0))
+        self.put(table, self.side.read(table).limit(0), self.side.schema(table))
 
     def drop(self, table: str) -> None:
         self.files.delete(f"{self.side.root}/{table}")

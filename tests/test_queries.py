@@ -40,5 +40,5 @@ def test_query(spark, connection, name):
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).columns == ["chunk_id", "src_n", "dst_n"]
+    assert entry.entry(spark).columns == ["chunk_id", "src_n", "dst_n", "src_digest", "dst_digest"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
