@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.canonical import Options, payload_hash
 from ..plans.schema import TableSchema
 from ..sources.shared import fixed
-from . import digest
+from . import chunking, digest
 from .diff import canonical_of, payload_key, staged
 
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
@@ -152,3 +152,8 @@ def sample(changes: DataFrame, order: list[Column], limit: int) -> DataFrame:
         numbered = top.withColumn("__place", F.monotonically_increasing_id())
         firsts = numbered if firsts is None else firsts.unionByName(numbered)
     return firsts.orderBy((F.col("__place") > 0), "op", "__place").limit(limit).drop("__place")
+
+
+def batched(rows: DataFrame, order: str, size: int) -> DataFrame:
+    """``rows`` with batch, numbered in the order of a column of distinct values, ``size`` rows each."""
+    return chunking.placed(rows, order, F.lit(1)).withColumn("batch", F.floor(F.col("place") / F.lit(size)).cast("long")).drop("place")

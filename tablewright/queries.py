@@ -7,7 +7,6 @@ DataFrame and once as SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import canonical, families as fam
 from .functions.canonical import Options
 from .operators import changes, chunking, diff, digest
-from .plans import decide, schema as schemas, structure
+from .plans import schema as schemas
 from .plans.schema import TableSchema
 from .sources.shared import fixed
 from .sources.tables import with_indexes
@@ -514,19 +513,12 @@ def apply_rowlevel_result(spark, d):
     return changes.apply_changes(dst, fixed(found), ["o_orderkey"])
 
 
-@query(f"SELECT {ORDERS} FROM orders")
-def full_resync(spark, d):
-    src, dst, s = orders_pair(spark, d)
-    plan = decide.decide("DIFFERENT", "", decide.Facts(src_keyed=False, dst_keyed=False))
-    return src if plan.mode == decide.FULL else dst
-
-
 SWAP = """src AS (SELECT s_suppkey, s_name FROM supplier),
 dst AS (SELECT a.s_suppkey, CASE WHEN a.s_suppkey % 10 IN (2, 3) AND b.s_name IS NOT NULL THEN b.s_name ELSE a.s_name END AS s_name
         FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = CASE a.s_suppkey % 10 WHEN 2 THEN a.s_suppkey + 1 WHEN 3 THEN a.s_suppkey - 1 END)"""
 
 
-def _swapped(spark, d):
+def swapped(spark, d):
     src = table(spark, d, "supplier").select("s_suppkey", "s_name")
     k = F.col("s_suppkey")
     other = src.select(F.col("s_suppkey").alias("ok"), F.col("s_name").alias("oname"))
@@ -536,7 +528,7 @@ def _swapped(spark, d):
 
 
 def _verdicts(spark, d, chunk: int):
-    src, dst, s = _swapped(spark, d)
+    src, dst, s = swapped(spark, d)
     chunk_id = lambda df: df.withColumn("chunk_id", F.floor(F.col("s_suppkey") / F.lit(chunk)).cast("long"))
     found = fixed(changes.change_set(src, dst, s, s, ["s_suppkey"]))
     touched = found.where("address IS NOT NULL").select(F.col("address.s_suppkey").alias("tk")).distinct()
@@ -579,47 +571,15 @@ def auto_increment_next(spark, d):
     return schemas.auto_increment_next(table(spark, d, "orders"), "o_orderkey")
 
 
-# -- decisions -------------------------------------------------------------------------------------
-
-
-@query("SELECT * FROM (VALUES ('a'), ('c')) AS t(name)")
-def common_tables(spark, d):
-    return spark.createDataFrame([(t,) for t in decide.common_tables("abcd", "acxe" + "b", exclude=["b"])], "name string")
-
-
-@query("""SELECT * FROM (VALUES ('identical', 'SKIP'), ('keyless', 'FULL'), ('keys differ', 'FULL'), ('order differs', 'ERROR'), ('enum key', 'FULL'), ('keyed', 'ROWLEVEL'),
-  ('keyless, filtered', 'ERROR'), ('enum key, filtered', 'ERROR'), ('keyed, filtered', 'ROWLEVEL')) AS t(situation, mode)""")
-def plan_decision(spark, d):
-    fine = decide.Facts()
-    keyless, differ, order, listed = replace(fine, src_keyed=False), replace(fine, keys_agree=False), replace(fine, order_compatible=False), replace(fine, addressable=False)
-    rows = [
-        ("identical", decide.decide("OK", "", fine)), ("keyless", decide.decide("DIFFERENT", "", keyless)), ("keys differ", decide.decide("DIFFERENT", "", differ)),
-        ("order differs", decide.decide("DIFFERENT", "", order)), ("enum key", decide.decide("DIFFERENT", "", listed)), ("keyed", decide.decide("DIFFERENT", "", fine)),
-        ("keyless, filtered", decide.decide("DIFFERENT", "", keyless, "x")), ("enum key, filtered", decide.decide("DIFFERENT", "", listed, "x")), ("keyed, filtered", decide.decide("DIFFERENT", "", fine, "x")),
-    ]
-    return spark.createDataFrame([(name, p.mode) for name, p in rows], "situation string, mode string")
-
-
-@query("SELECT * FROM (VALUES ('DROP_COLUMN', 'c_acctbal'), ('MODIFY_COLUMN', 'c_nationkey'), ('ADD_COLUMN', 'c_mktsegment'), ('ADD_INDEX', 'c_custkey')) AS t(kind, name)")
-def schema_diff(spark, d):
-    base = schemas.introspect(table(spark, d, "customer"), "customer")
-    src = with_indexes(replace(base, columns=tuple(c for c in base.columns if c.name != "c_acctbal")), PRIMARY=("c_custkey",))
-    dst = replace(base, columns=tuple(replace(c, raw_type="varchar(9)") if c.name == "c_nationkey" else c for c in base.columns if c.name != "c_mktsegment"))
-    found = structure.diff_structure(src, dst)
-    return spark.createDataFrame([(c.kind, c.column.name if c.column else ",".join(c.index.columns)) for c in found], "kind string, name string")
-
+def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    from . import sync_queries  # noqa: F401  registers its queries
 
-@query()
-def ddl_plan(spark, d):
-    base = schemas.introspect(table(spark, d, "customer"), "customer")
-    src = with_indexes(base, PRIMARY=("c_custkey",))
-    dst = replace(base, columns=base.columns[:-1])
-    return spark.createDataFrame([(i, s) for i, s in enumerate(structure.render_ddl("customer", structure.diff_structure(src, dst)))], "place int, statement string")
+    return ALL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in ALL.items()}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in ALL.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
