@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from dataclasses import fields
 
@@ -11,6 +12,7 @@ from pyspark.sql import SparkSession
 from .plans import config as configs
 from .plans import decide, report, sync
 from .plans.schema import PlanError
+from .sources.jdbc import JdbcSide
 from .sources.tables import Side
 
 VERSION = "0.1.0"
@@ -34,6 +36,20 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("tablewright").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def opened(spark: SparkSession, place: str | configs.Address, config: configs.Config, side: str, command: str) -> Side | JdbcSide:
+    """A side for reading. A snapshot keeps the versions of both sides of a diff and of a sync's source; a database
+    read over several connections has none, so it is refused there."""
+    if isinstance(place, str) and not place.startswith("jdbc:"):
+        return Side(spark, place, config.snapshot and (side == "src" or command == "diff"))
+    if config.snapshot:
+        raise PlanError("a snapshot over several database connections can't be held", argument=True)
+    if isinstance(place, configs.Address):
+        return JdbcSide(spark, place.url, place.options(), config.parallel)
+    user, variable = getattr(config, f"{side}_user"), getattr(config, f"{side}_password_env")
+    given = {"user": user} | ({"password": os.environ[variable]} if os.environ.get(variable) else {}) if user else {}
+    return JdbcSide(spark, place, given, config.parallel)
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None, ask=input, out=sys.stdout) -> int:
     given = vars(parser().parse_args(arguments))
     command, path = given.pop("command"), given.pop("config")
@@ -46,10 +62,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
             with open(path) as file:
                 base = configs.from_yaml(file.read())
         config = configs.overlay(base, given)
-        if not config.src or not config.dst:
-            raise PlanError("src and dst are needed", argument=True)
+        places = [config.place(side) for side in ("src", "dst")]
         spark = spark or session()
-        src, dst = Side(spark, config.src, config.snapshot), Side(spark, config.dst, config.snapshot and command == "diff")
+        src, dst = (opened(spark, place, config, side, command) for place, side in zip(places, ("src", "dst")))
         only, exclude = list(config.tables), list(config.exclude_tables)
         if command == "tables":
             print("\n".join(decide.common_tables(src.tables(), dst.tables(), only, exclude)), file=out)

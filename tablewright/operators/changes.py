@@ -72,6 +72,15 @@ def apply_changes(dst: DataFrame, changes: DataFrame, key: list[str]) -> DataFra
     return kept.unionByName(changes.where(F.col("row").isNotNull()).select("row.*"))
 
 
+def as_rewrites(changes: DataFrame) -> DataFrame:
+    """``changes`` with every update as a delete and an insert, so that unique values can change places."""
+    none = lambda c: F.lit(None).cast(changes.schema[c].dataType).alias(c)
+    update = changes.where(F.col("op") == UPDATE)
+    gone = update.select(F.lit(DELETE).alias("op"), F.lit(1).alias("phase"), "address", none("row"))
+    come = update.select(F.lit(INSERT).alias("op"), F.lit(2).alias("phase"), none("address"), "row")
+    return changes.where(F.col("op") != UPDATE).unionByName(gone).unionByName(come)
+
+
 # -- unique constraints ----------------------------------------------------------------------------
 
 

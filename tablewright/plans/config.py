@@ -20,6 +20,16 @@ class Config:
 
     src: str = ""
     dst: str = ""
+    src_host: str = ""
+    dst_host: str = ""
+    src_port: int = 0
+    dst_port: int = 0
+    src_user: str = ""
+    dst_user: str = ""
+    src_password_env: str = ""
+    dst_password_env: str = ""
+    src_db: str = ""
+    dst_db: str = ""
     tables: tuple[str, ...] = ()
     exclude_tables: tuple[str, ...] = ()
     key: tuple[str, ...] = ()
@@ -59,6 +69,19 @@ class Config:
             raise PlanError("tolerance must be 0 or a finite positive number", argument=True)
         return self
 
+    def place(self, side: str) -> str | Address:
+        """Where a side is: a folder or a JDBC URL as it stands, or the address of a database. A whole address wins
+        over its parts."""
+        whole, variable = getattr(self, side), getattr(self, f"{side}_password_env")
+        if whole.startswith("jdbc:") or whole and "@" not in whole or "://" in whole:
+            return whole
+        if whole:
+            return parse_address(whole, password_variable=variable)
+        host, port, user, database = (getattr(self, f"{side}_{part}") for part in ("host", "port", "user", "db"))
+        if not (host and user and database):
+            raise PlanError("src and dst are needed", argument=True)
+        return Address(host, port or 3306, user, os.environ.get(variable, ""), database)
+
     @property
     def spec(self) -> Spec:
         options = Options(self.tolerance, not self.no_trim, self.fold_case, self.normalize_json, self.allow_tz_swap)

@@ -19,6 +19,7 @@ from ..functions import families as fam
 from ..operators import changes as ops
 from ..operators import chunking, diff
 from ..sources.shared import fixed
+from ..sources.jdbc import JdbcSide, JdbcWriter
 from ..sources.tables import Side, Writer
 from . import decide, schema as schemas, structure
 from .schema import PlanError, TableSchema
@@ -189,7 +190,7 @@ def apply_table(src: Side, writer: Writer, confirmed: TableSync, options: SyncOp
     if now.mode == decide.CREATE:
         writer.put(table, src.read(table), a)
     elif now.schema_sql:
-        _apply_structure(src, writer, table, a, options)
+        _apply_structure(src, writer, table, a, now.schema_sql, options)
         after = plan_table(src, dst, table, options)
         if after.status == decide.PLANNED:
             if decide.within_scope(confirmed.scope, after.scope) and after.mode == decide.FULL and not options.allow_structure_truncate:
@@ -224,8 +225,12 @@ def _apply_state(src: Side, writer: Writer, now: TableSync, options: SyncOptions
     now.state_verified = not _state(rows, dst.read(table), a, dst.schema(table), options.spec)[0]
 
 
-def _apply_structure(src: Side, writer: Writer, table: str, a: TableSchema, options: SyncOptions) -> None:
-    """Rewrites the destination with the source's columns; added ones are null until rows are synced."""
+def _apply_structure(src: Side, writer: Writer, table: str, a: TableSchema, statements: list[str], options: SyncOptions) -> None:
+    """Rewrites the destination with the source's columns; added ones are null until rows are synced. A database
+    runs the statements."""
+    if isinstance(writer, JdbcWriter):
+        writer.alter(statements)
+        return
     ours, theirs = src.read(table), writer.side.read(table)
     ignored = {n.lower() for n in options.spec.ignore}
     keep = [c for c in theirs.columns if c.lower() in ignored and c not in ours.columns]
@@ -241,6 +246,8 @@ def _write_rows(src: Side, writer: Writer, now: TableSync, a: TableSchema, optio
         ignored = {n.lower() for n in options.spec.ignore}
         own = lambda f: F.lit(theirs.column(f.name).default).cast(f.dataType).alias(f.name)
         writer.put(table, rows.select(*[F.col(f"`{f.name}`") if f.name in rows.columns and f.name.lower() not in ignored else own(f) for f in current.schema.fields]), theirs)
+    elif now.changes is not None and isinstance(writer, JdbcWriter):
+        writer.apply_changes(table, now.changes, list(_keyed(a, theirs, options.spec)[0].key), options.batch_size, bool(now.scope.rewrites))
     elif now.changes is not None:
         current = dst.read(table)
         names = [f.name for f in now.changes.schema["row"].dataType.fields]
@@ -278,7 +285,7 @@ def plan_sync(src: Side, dst: Side, only: list[str] | None = None, exclude: list
 
 def apply_sync(src: Side, dst: Side, plans: list[TableSync], options: SyncOptions = SyncOptions()) -> list[TableSync]:
     """Applies confirmed plans; a drop checks both sides once more just before."""
-    writer, out = Writer(dst, confirmed=True), []
+    writer, out = (JdbcWriter if isinstance(dst, JdbcSide) else Writer)(dst, confirmed=True), []
     for plan in plans:
         if plan.status != decide.PLANNED:
             out.append(plan)

@@ -151,16 +151,6 @@ class Writer:
             self.files.delete(f"{self.side.root}/{table}/{name}")
 
 
-def jdbc_side(spark: SparkSession, url: str, table: str, options: dict[str, str] | None = None) -> DataFrame:
-    """A table over JDBC; key-range reads go through ``partitionColumn`` and its bounds in ``options``."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **(options or {})).load()
-
-
-def write_jdbc(rows: DataFrame, url: str, table: str, batch: int = 1000, options: dict[str, str] | None = None) -> None:
-    """Appends rows in statements of at most ``batch`` rows; no retry of a failed transaction."""
-    rows.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), isolationLevel="READ_COMMITTED", **(options or {})).mode("append").save()
-
-
 def with_indexes(schema: TableSchema, **indexes: tuple[str, ...]) -> TableSchema:
     """A schema with unique indexes by name (PRIMARY for the key) and its key selected."""
     return select_key(replace(schema, indexes=tuple(Index(n, tuple(c)) for n, c in indexes.items())))
