@@ -256,7 +256,7 @@ def payload(value: Column, info: fam.TypeInfo, kind: T.DataType, options: Option
         if isinstance(kind, (T.FloatType, T.DoubleType)):
             text = canonical_float(value, options.tolerance if family in (fam.FLOAT, fam.DOUBLE) else 0.0)
         elif isinstance(kind, T.StringType):
-            text = canonical_number(value)
+            text = canonical_number(F.when((value == "") & F.lit(family == fam.DECIMAL), "0").otherwise(value))
         else:
             text = canonical_decimal(value, kind)
     elif family == fam.DATE:

@@ -7,6 +7,7 @@ or in column metadata; all decisions here are on the driver and read no rows.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -143,43 +144,25 @@ def keys_agree(a: TableSchema, b: TableSchema) -> bool:
 VALUE_ORDERED = fam.NUMERIC | {fam.DATE, fam.TIME, fam.DATETIME, fam.TIMESTAMP, fam.YEAR, fam.BYTES, fam.BIT}
 
 
+LIST_TYPE = re.compile(r"\s*(?:enum|set)\s*\((.*)\)\s*", re.I | re.S)
+MEMBER = re.compile(r"[ \t]*'((?:[^'\\]|\\.|'')*)'[ \t]*", re.S)
+ESCAPED = re.compile(r"\\(.)|''", re.S)
+
+
 def members(raw: str) -> list[str] | None:
-    """Member texts of an enum or set type in order; None where the type can't be read."""
-    text = raw.strip()
-    head = text[: text.find("(")].strip().lower() if "(" in text else ""
-    if head not in ("enum", "set") or not text.endswith(")"):
-        return None
-    body, at, out = text[text.find("(") + 1 : -1], 0, []
-    escapes = {"0": "\0", "n": "\n", "r": "\r", "t": "\t", "b": "\b", "Z": "\x1a"}
-    while True:
-        while at < len(body) and body[at] == " ":
-            at += 1
-        if at >= len(body) or body[at] != "'":
-            return None
-        at, member = at + 1, []
-        while True:
-            if at >= len(body):
-                return None
-            if body[at] == "\\" and at + 1 < len(body):
-                member.append(escapes.get(body[at + 1], body[at + 1]))
-                at += 2
-            elif body.startswith("''", at):
-                member.append("'")
-                at += 2
-            elif body[at] == "'":
-                at += 1
-                break
-            else:
-                member.append(body[at])
-                at += 1
-        out.append("".join(member))
-        while at < len(body) and body[at] == " ":
-            at += 1
-        if at == len(body):
-            return out
-        if body[at] != ",":
+    """Member texts of an enum or set type in order; None where the type can't be read. A backslash stands for the
+    character after it, two quotes for one."""
+    found = LIST_TYPE.fullmatch(raw)
+    out: list[str] = []
+    body = found[1].rstrip(" \t") if found else ""
+    at = 0
+    while at < len(body):
+        one = MEMBER.match(body, at)
+        if not one or one.end() < len(body) and body[one.end()] != ",":
             return None
-        at += 1
+        out.append(ESCAPED.sub(lambda m: m[1] or "'", one[1]))
+        at = one.end() + 1
+    return out if out and at > len(body) else None  # a comma is followed by a member
 
 
 def key_order_compatible(a: TableSchema, b: TableSchema) -> tuple[bool, str]:

@@ -176,3 +176,76 @@ def test_options_change_what_is_equal(spark):
     assert diff.row_diff(src, dst, s, s, ["id"], everything).count() == 0
     for weaker in (Options(fold_case=True, normalize_json=True), Options(tolerance=1e-9, normalize_json=True), Options(tolerance=1e-9, fold_case=True)):
         assert diff.row_diff(src, dst, s, s, ["id"], weaker).count() == 1
+
+
+def test_ranks_split_points_and_batches(spark):
+    rng = random.Random(8)
+    values = [rng.randrange(300) for _ in range(2000)] + [7] * 900
+    df = spark.createDataFrame([(v,) for v in values], "k long").repartition(6)
+    order = sorted(values)
+    for offset in (0, 1, 500, 2899):
+        assert [r["k"] for r in chunking.split_point(df, ["k"], offset).collect()] == [order[offset]]
+    assert chunking.split_point(df, ["k"], 2900).count() == 0
+    numbered = changes.batched(spark.range(95).withColumnRenamed("id", "n").repartition(5), "n", 10).collect()
+    assert sorted((r["n"], r["batch"]) for r in numbered) == [(i, i // 10) for i in range(95)]
+
+
+def test_ranked_chunks_are_numbered_without_gaps(spark):
+    values = [1] * 5 + [2] * 400 + list(range(3, 60))
+    df = spark.createDataFrame([(v,) for v in values], "k long")
+    bounds = sorted((r["chunk_id"], r["lo"]["k"], r["hi"]["k"], r["n_rows"]) for r in chunking.plan_ranked(df, ["k"], 20).collect())
+    assert [b[0] for b in bounds] == list(range(len(bounds))) and sum(b[3] for b in bounds) == len(values)
+    assert all(a[2] < b[1] for a, b in zip(bounds, bounds[1:]))
+
+
+@pytest.mark.parametrize("many", [False, True])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rows_of_differing_chunks(spark, monkeypatch, kind, many):
+    """What is read again are the rows of differing chunks, keys outside the source's range and without a value too."""
+    monkeypatch.setattr(diff, "MOST_RANGES", 1 if many else 200)
+    src = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    dst = src.withColumn("v", F.when(F.col("k").isin(105, 305, 306), "y").otherwise(F.col("v"))).unionByName(spark.createDataFrame([(None, "n"), (5000, "z"), (-4, "z")], "k long, v string"))
+    cast = F.col("k") if kind == "long" else F.lpad(F.col("k").cast("string"), 5, "0")
+    src, dst = (x.withColumn("k", cast) for x in (src, dst))
+    s = keyed(src, "k")
+    result = diff.compare("t", src, dst, s, s, diff.Spec(chunk_size=10, chunks_always=True))
+    ids = [r["chunk_id"] for r in result.diff_chunks.collect()]
+    plan = diff.chunk_plan(src, s, diff.Spec(chunk_size=10))
+    for df, some in zip((src, dst), result.some):
+        wanted = diff.with_chunk(df, plan).where(F.col("chunk_id").isin(ids)).select("k", "v", "chunk_id")
+        assert sorted(map(str, some.select("k", "v", "chunk_id").collect())) == sorted(map(str, wanted.collect()))
+    whole, part = (changes.change_set(a, b, s, s, ["k"]).count() for a, b in ((src, dst), [x.drop("chunk_id") for x in result.some]))
+    assert whole == part == 6
+
+
+def test_key_ranges_reach_the_scan(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("v")).write.parquet(f"{tmp_path}/t")
+    src = spark.read.parquet(f"{tmp_path}/t")
+    dst = src.withColumn("v", F.when(F.col("k") == 505, "y").otherwise(F.col("v")))
+    s = keyed(src, "k")
+    result = diff.compare("t", src, dst, s, s, diff.Spec(chunk_size=10))
+    plan = result.some[0]._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(k,500)" in plan and "LessThan(k,510)" in plan
+
+
+def test_ordered_digests_of_large_chunks(spark, monkeypatch):
+    monkeypatch.setattr(digest, "BLOCK", 4)
+    df = spark.range(1000).select(F.lit(0).alias("chunk_id"), F.col("id").alias("k"), F.xxhash64("id").alias("h"))
+    one = digest.ordered_digests(df.repartition(1), ["k"]).collect()
+    many = digest.ordered_digests(df.repartition(7), ["k"]).collect()
+    other = digest.ordered_digests(df.withColumn("k", F.when(F.col("k") < 2, 1 - F.col("k")).otherwise(F.col("k"))), ["k"]).collect()
+    assert one == many and one[0]["digest"] != other[0]["digest"] and one[0]["n"] == 1000
+
+
+def test_multisets_meet_only_rows_that_differ(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(20), rng.choice(["a", "a ", None])) for _ in range(600)]
+    src, dst = spark.createDataFrame(rows, "k long, v string"), spark.createDataFrame(rows[5:] + [(99, "new"), (99, "new")], "k long, v string")
+    s = schemas.introspect(src)
+    found = {r["row"]: (r["src_n"], r["dst_n"]) for r in diff.multiset_diff(src, dst, s, s).collect()}
+    counts = [{}, {}]
+    for side, listed in enumerate((rows, rows[5:] + [(99, "new"), (99, "new")])):
+        for k, v in listed:
+            name = f"{k} | {'NULL' if v is None else v.rstrip()}"
+            counts[side][name] = counts[side].get(name, 0) + 1
+    assert found == {n: (counts[0].get(n, 0), counts[1].get(n, 0)) for n in {*counts[0], *counts[1]} if counts[0].get(n, 0) != counts[1].get(n, 0)}

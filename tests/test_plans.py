@@ -171,3 +171,14 @@ def test_addresses():
 def test_counters():
     assert structure.counter_of("CREATE TABLE `t` (`id` int AUTO_INCREMENT) ENGINE=InnoDB AUTO_INCREMENT=1500 COMMENT='x'") == 1500
     assert structure.counter_of("CREATE TABLE `t` (`id` int COMMENT 'AUTO_INCREMENT=7') COMMENT='AUTO_INCREMENT=9'") is None
+
+
+@pytest.mark.parametrize(
+    ("raw", "expected"),
+    [
+        ("enum('a','b')", ["a", "b"]), (" SET ( 'x' ,\t'y' ) ", ["x", "y"]), ("enum('it''s','a\\'b','c\\\\d')", ["it's", "a'b", "c\\d"]), ("enum('a\\nb')", ["anb"]),
+        ("enum('a,b','')", ["a,b", ""]), ("enum()", None), ("enum(a)", None), ("enum('a' 'b')", None), ("enum('a", None), ("varchar(3)", None), ("enum('a\\')", None),
+    ],
+)
+def test_member_lists(raw, expected):
+    assert schemas.members(raw) == expected

@@ -163,3 +163,41 @@ def test_counters_alone_are_raised(spark, tmp_path):
     assert plan.mode == "STATE" and sync.apply_table(src, Writer(dst, True), plan).status == "APPLIED"
     assert dst.schema("t").auto_increment_counter == 100
     assert sync.plan_table(src, dst, "t", sync.SyncOptions(spec=diff.Spec(where="id > 3"))).mode == "SKIP"
+
+
+def test_a_snapshot_keeps_its_versions(sides, spark):
+    src, dst = sides
+    held = Side(spark, src.root, snapshot=True)
+    before = held.read("t").count()
+    Writer(src, True).put("t", src.read("t").limit(1), replace(src.schema("t"), default_collation="other"))
+    assert held.read("t").count() == before and held.schema("t").default_collation == ""
+    assert src.read("t").count() == 1 and src.schema("t").default_collation == "other"
+
+
+def test_tables_in_parallel(sides):
+    src, dst = sides
+    one, many = (sync.compare_sides(src, dst, parallel=n) for n in (1, 4))
+    assert [(r.name, r.status) for r in one] == [(r.name, r.status) for r in many]
+    assert [(p.name, p.mode) for p in sync.plan_sync(src, dst, options=sync.SyncOptions(parallel=4))] == [(p.name, p.mode) for p in sync.plan_sync(src, dst)]
+
+
+def test_reports_have_bounds_digests_and_limits(sides):
+    src, dst = sides
+    spec = diff.Spec(drill=True, drill_limit=2, chunk_size=10)
+    result = diff.compare("t", src.read("t"), dst.read("t"), src.schema("t"), dst.schema("t"), spec)
+    table = json.loads(report.diff_json([result]))["tables"][0]
+    assert table["truncated"] and len(table["rows"]) == 2 and any("more rows" in w for w in table["warnings"])
+    first = table["diff_chunks"][0]
+    assert (first["lo"], first["hi"]) == ("0", "9") and first["src"] != first["dst"] and len(first["src"].split(":")) == 4
+    assert table["diff_chunk_count"] == len(table["diff_chunks"]) and "[0, 9]" in report.diff_text([result])
+
+
+def test_a_reload_leaves_ignored_columns_at_their_default(spark, tmp_path):
+    src, dst = Side(spark, f"file://{tmp_path}/src"), Side(spark, f"file://{tmp_path}/dst")
+    for side, seen in ((src, "theirs"), (dst, "own")):
+        rows = spark.createDataFrame([(i, seen) for i in range(3 if side is src else 2)], "id long, seen string")
+        s = schemas.introspect(rows, "t")
+        Writer(side, True).put("t", rows, replace(s, columns=tuple(replace(c, default="none") if c.name == "seen" else c for c in s.columns)))
+    options = sync.SyncOptions(spec=diff.Spec(ignore=("seen",)))
+    done = sync.apply_sync(src, dst, sync.plan_sync(src, dst, options=options), options)[0]
+    assert (done.mode, done.status) == ("FULL", "APPLIED") and {r["seen"] for r in dst.read("t").collect()} == {"none"}

@@ -95,3 +95,11 @@ def test_nested_values_and_intervals(spark):
     assert diff.compare("t", df, df, s, s).status == SAME
     moved = df.withColumn("t", F.col("t") + F.expr("interval 1 second"))
     assert diff.compare("t", df, moved, s, s).status == DIFFERENT
+
+
+def test_empty_text_of_a_decimal_is_zero(spark):
+    from tablewright.functions import canonical, families as fam
+
+    df = spark.createDataFrame([("",), ("0.00",), ("1.50",), (None,)], "x string")
+    made = df.select(canonical.payload(F.col("x"), fam.classify("decimal(10,2)"), df.schema["x"].dataType).cast("string").alias("p")).collect()
+    assert [r["p"] for r in made] == ["0", "0", "1.5", None]
