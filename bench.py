@@ -6,6 +6,7 @@ import json
 import os
 import sys
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 
 from tablewright import queries as engine
 from tablewright.operators import diff
-from tablewright.plans import schema as schemas
+from tablewright.plans import schema as schemas, sync
+from tablewright.sources.shared import shared_dir
+from tablewright.sources.tables import Side, Writer, with_indexes
 
-HEADLINE = ["diff_counts", "row_diff_keyed", "multiset_diff", "differing_chunks", "table_fingerprint_unordered", "chunk_plan_rank", "changeset_unique_key", "changeset_group_replace", "apply_rowlevel_result", "holder_cross_chunk"]
+HEADLINE = ["diff_counts", "row_diff_keyed", "multiset_diff", "differing_chunks", "table_fingerprint_unordered", "chunk_plan_rank", "changeset_unique_key", "changeset_group_replace", "row_work_of_chunks", "apply_rowlevel_result", "holder_cross_chunk"]
 
 
 def identical_diff(spark: SparkSession, sf_dir: str) -> int:
-    """A full diff of two identical copies of lineitem, keyless: counts, digests, fingerprints."""
+    """A full diff of two identical copies of lineitem, keyless: counts, digests, fingerprints. Rows read."""
     src = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     known = schemas.introspect(src, "lineitem")
     result = diff.compare("lineitem", src, src, known, known)
@@ -28,6 +31,43 @@ def identical_diff(spark: SparkSession, sf_dir: str) -> int:
     return result.src_rows + result.dst_rows
 
 
+def keyed_diff(spark: SparkSession, sf_dir: str) -> int:
+    """A full diff of lineitem and a copy, in chunks of its composite key. Rows read."""
+    src = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    known = with_indexes(schemas.introspect(src, "lineitem"), PRIMARY=("l_orderkey", "l_linenumber"))
+    result = diff.compare("lineitem", src, src, known, known)
+    assert result.status == "OK" and result.chunks > 1, result
+    return result.src_rows + result.dst_rows
+
+
+def _sides(spark: SparkSession, name: str, src: DataFrame, dst: DataFrame, known: schemas.TableSchema) -> tuple[Side, Side]:
+    root = f"{shared_dir(spark)}/bench-{uuid.uuid4().hex}"
+    sides = Side(spark, f"{root}/src"), Side(spark, f"{root}/dst")
+    for side, rows in zip(sides, (src, dst)):
+        Writer(side, confirmed=True).put(name, rows, known)
+    return sides
+
+
+def row_level_sync(spark: SparkSession, sf_dir: str) -> tuple[Side, Side, str]:
+    """Orders, of which the destination lacks half."""
+    src = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    known = with_indexes(schemas.introspect(src, "orders"), PRIMARY=("o_orderkey",))
+    return (*_sides(spark, "orders", src, src.where("o_orderkey % 2 = 0"), known), "orders")
+
+
+def full_reload(spark: SparkSession, sf_dir: str) -> tuple[Side, Side, str]:
+    """Lineitem without a key, of which the destination lacks half."""
+    src = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return (*_sides(spark, "lineitem", src, src.where("l_orderkey % 2 = 0"), schemas.introspect(src, "lineitem")), "lineitem")
+
+
+def synced(src: Side, dst: Side, name: str) -> int:
+    """Plan, apply and verify; rows written."""
+    done = sync.apply_table(src, Writer(dst, confirmed=True), sync.plan_table(src, dst, name))
+    assert done.verified, done
+    return done.inserts + done.updates
+
+
 def run(df: DataFrame) -> None:
     """Computes every row and column without bringing them to the driver."""
     df.agg(F.count("*"), F.bit_xor(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]))).collect()
@@ -47,11 +87,23 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    queries, times = engine.queries(), {}
-    identical_diff(spark, sf_dir)  # the first run compiles code
-    began = time.time()
-    rows = identical_diff(spark, sf_dir)
-    times["diff_identical"] = round(time.time() - began, 3)
+    queries, times, rates = engine.queries(), {}, {}
+    for name, work in (("diff_identical", identical_diff), ("diff_keyed", keyed_diff)):
+        work(spark, sf_dir)  # the first run compiles code
+        began = time.time()
+        rows = work(spark, sf_dir)
+        times[name] = round(time.time() - began, 3)
+        rates[f"{name}_rows_per_sec"] = round(rows / times[name])
+    for name, made in (("sync_rowlevel", row_level_sync), ("sync_full", full_reload)):
+        best = None
+        for _ in range(2):
+            sides = made(spark, sf_dir)
+            began = time.time()
+            rows = synced(*sides)
+            took = time.time() - began
+            best = took if best is None else min(best, took)
+        times[name] = round(best, 3)
+        rates[f"{name}_rows_per_sec"] = round(rows / best)
     for name in HEADLINE:
         best = None
         for _ in range(2):
@@ -60,7 +112,7 @@ def main() -> None:
             took = time.time() - began
             best = took if best is None else min(best, took)
         times[name] = round(best, 3)
-    print(json.dumps({"metric": "reconciliation_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "diff_rows_per_sec": round(rows / times["diff_identical"]), "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    print(json.dumps({"metric": "reconciliation_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, **rates, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 
 if __name__ == "__main__":

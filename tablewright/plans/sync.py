@@ -249,15 +249,18 @@ def _write_rows(src: Side, writer: Writer, now: TableSync, a: TableSchema, optio
     elif now.changes is not None and isinstance(writer, JdbcWriter):
         writer.apply_changes(table, now.changes, list(_keyed(a, theirs, options.spec)[0].key), options.batch_size, bool(now.scope.rewrites))
     elif now.changes is not None:
-        current = dst.read(table)
-        names = [f.name for f in now.changes.schema["row"].dataType.fields]
-        rest = [c for c in current.columns if c not in names]
-        made = ops.apply_changes(current.select(*names), now.changes, list(_keyed(a, theirs, options.spec)[0].key))
-        if rest:  # columns that are not compared keep their values
-            key = list(a.key)
-            kept = current.select(*[F.col(k).alias(f"__{k}") for k in key], *rest)
-            made = made.join(kept, [made[k].eqNullSafe(kept[f"__{k}"]) for k in key], "left")
-        writer.put(table, made.select(*current.columns), theirs)
+        key, names = list(_keyed(a, theirs, options.spec)[0].key), [f.name for f in now.changes.schema["row"].dataType.fields]
+
+        def made(current: DataFrame) -> DataFrame:
+            rest = [c for c in current.columns if c not in names]
+            out = ops.apply_changes(current.select(*names), now.changes, key)
+            if rest:  # columns that are not compared keep their values
+                kept = current.select(*[F.col(k).alias(f"__{k}") for k in key], *rest)
+                out = out.join(kept, [out[k].eqNullSafe(kept[f"__{k}"]) for k in key], "left")
+            return out.select(*current.columns)
+
+        gone = now.changes.where(F.col("address").isNotNull()).select("address.*").distinct()
+        writer.change(table, gone, made, theirs)
     return now
 
 

@@ -3,16 +3,22 @@
 A plain table is ``<root>/<name>.parquet`` (a file or a folder) with an optional sidecar
 ``<root>/<name>.schema.json``. A versioned table is ``<root>/<name>/v=<n>``, which holds its own schema, with a
 pointer file ``<root>/<name>/_current``; writing makes a new version and then swaps the pointer, so readers see
-the old table and schema or the new ones and never a part. A side with a snapshot keeps the version of each
-table that it met first. All file access goes through Hadoop's file systems, so a side may
+the old table and schema or the new ones and never a part. A version may keep files of earlier ones, which it
+lists in ``_files.json``, so that a change of few rows writes only the files that hold them anew. A side with a
+snapshot keeps the version of each table that it met first. All file access goes through Hadoop's file systems, so a side may
 lie in any store that Spark reads.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.schema import Index, TableSchema, introspect, select_key
 
@@ -99,9 +105,17 @@ class Side:
             self.pinned[table] = found
         return found
 
+    def parts(self, version: str) -> list[str]:
+        """What a version consists of: files kept from earlier ones, and its folder if it has files of its own."""
+        listed = f"{version}/_files.json"
+        if not self.files.exists(listed):
+            return [version]
+        kept = json.loads(self.files.read(listed))
+        return kept + [version] * any(n.endswith(".parquet") for n in self.files.names(version))
+
     def read(self, table: str) -> DataFrame:
         """A snapshot: the version that is current now, whatever is written later."""
-        return self.spark.read.parquet(self.path(table))
+        return self.spark.read.parquet(*self.parts(self.path(table)))
 
     def schema(self, table: str) -> TableSchema:
         """The sidecar's schema, else one from the table's types; with its key selected."""
@@ -131,6 +145,26 @@ class Writer:
             self.files.write(f"{base}/{version}/_schema.json", schema.to_json())
         self.files.write(f"{base}/_current", version)
 
+    def change(self, table: str, keys: DataFrame, made: Callable[[DataFrame], DataFrame], schema: TableSchema) -> None:
+        """A new version that keeps the files without any row of ``keys`` (its columns) and has the rows of the others
+        as ``made`` makes them. Finding the files reads the key columns between the least and the greatest key."""
+        spark, current = self.side.spark, self.side.read(table)
+        lead = keys.columns[0]
+        ends = keys.agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"), F.count_if(F.col(lead).isNull()).alias("nulls")).first()
+        near = F.col(lead).between(F.lit(ends["lo"]), F.lit(ends["hi"])) if ends["lo"] is not None else F.lit(False)
+        some = current.where(near | F.col(lead).isNull() if ends["nulls"] else near).select(*[F.col(f"`{k}`") for k in keys.columns], F.col("_metadata.file_path").alias("file"))
+        named = keys.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys.columns)])
+        match = [some[f"`{k}`"].eqNullSafe(named[f"k{i}"]) for i, k in enumerate(keys.columns)]
+        touched = {r["file"] for r in some.join(named, match, "left_semi").select("file").distinct().collect()}  # a row a file
+        plain = lambda f: re.sub("^file:/+", "file:///", unquote(f))
+        whole, gone = set(map(plain, current.inputFiles())), set(map(plain, touched))
+        base, version = f"{self.side.root}/{table}", self._next(table)
+        rows = spark.read.parquet(*sorted(gone)) if gone else current.limit(0)
+        made(rows).write.parquet(f"{base}/{version}")
+        self.files.write(f"{base}/{version}/_files.json", json.dumps(sorted(whole - gone)))
+        self.files.write(f"{base}/{version}/_schema.json", schema.to_json())
+        self.files.write(f"{base}/_current", version)
+
     def put_schema(self, table: str, schema: TableSchema) -> None:
         """Replaces what is known of a table beside its rows."""
         versioned = self.files.exists(f"{self.side.root}/{table}/_current")
@@ -145,10 +179,17 @@ class Writer:
         self.files.delete(f"{self.side.root}/{table}.schema.json")
 
     def vacuum(self, table: str, keep: int = 2) -> None:
-        """Deletes all but the last versions."""
-        versions = sorted((int(n.removeprefix("v=")), n) for n in self.files.names(f"{self.side.root}/{table}") if n.startswith("v="))
+        """Deletes all but the last versions, and of older ones the files that these do not keep."""
+        base = f"{self.side.root}/{table}"
+        versions = sorted((int(n.removeprefix("v=")), n) for n in self.files.names(base) if n.startswith("v="))
+        used = {"/".join(p.split("/")[-2:]) for _, name in versions[-keep:] for p in self.side.parts(f"{base}/{name}")}
         for _, name in versions[:-keep]:
-            self.files.delete(f"{self.side.root}/{table}/{name}")
+            names = [n for n in self.files.names(f"{base}/{name}") if f"{name}/{n}" in used]
+            for n in self.files.names(f"{base}/{name}") if names else []:
+                if n not in names:
+                    self.files.delete(f"{base}/{name}/{n}")
+            if not names:
+                self.files.delete(f"{base}/{name}")
 
 
 def with_indexes(schema: TableSchema, **indexes: tuple[str, ...]) -> TableSchema:

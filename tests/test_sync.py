@@ -201,3 +201,24 @@ def test_a_reload_leaves_ignored_columns_at_their_default(spark, tmp_path):
     options = sync.SyncOptions(spec=diff.Spec(ignore=("seen",)))
     done = sync.apply_sync(src, dst, sync.plan_sync(src, dst, options=options), options)[0]
     assert (done.mode, done.status) == ("FULL", "APPLIED") and {r["seen"] for r in dst.read("t").collect()} == {"none"}
+
+
+def test_a_change_keeps_the_files_it_does_not_touch(spark, tmp_path):
+    src, dst = Side(spark, f"file://{tmp_path}/a b/src"), Side(spark, f"file://{tmp_path}/a b/dst")
+    rows = spark.range(1000).select(F.col("id"), F.lit("x").alias("v"), F.lit("own").alias("seen"))
+    s = with_indexes(schemas.introspect(rows, "t"), PRIMARY=("id",))
+    for side in (src, dst):
+        Writer(side, True).put("t", rows.repartitionByRange(10, "id"), s)
+    Writer(src, True).put("t", rows.where("id <> 7").withColumn("v", F.when(F.col("id") == 12, "y").otherwise(F.col("v"))).withColumn("seen", F.lit("theirs")).unionByName(spark.createDataFrame([(5000, "new", "theirs")], "id long, v string, seen string")), s)
+    options = sync.SyncOptions(spec=diff.Spec(ignore=("seen",), chunk_size=50))
+    before = set(dst.read("t").inputFiles())
+    done = sync.apply_sync(src, dst, sync.plan_sync(src, dst, options=options), options)[0]
+    assert (done.mode, done.verified, done.inserts, done.updates, done.deletes) == ("ROWLEVEL", True, 1, 1, 1)
+    after = set(dst.read("t").inputFiles())
+    assert len(before & after) == 9 and dst.read("t").count() == 1000
+    found = {r["id"]: (r["v"], r["seen"]) for r in dst.read("t").collect()}
+    assert 7 not in found and found[12] == ("y", "own") and found[5000] == ("new", None) and found[999] == ("x", "own")
+    Writer(dst, True).vacuum("t", keep=1)
+    assert {r["id"]: (r["v"], r["seen"]) for r in dst.read("t").collect()} == found
+    assert len([f for f in dst.files.names(f"{dst.root}/t/v=1") if f.endswith(".parquet")]) == 9
+    assert sync.plan_sync(src, dst, options=options)[0].mode == "SKIP"
