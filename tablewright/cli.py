@@ -88,7 +88,7 @@ def _sync(src: Side, dst: Side, only: list[str], exclude: list[str], config: con
     show = report.sync_text if not config.json else lambda p: report.sync_json(p, config.apply)
     if config.apply and any(p.status == decide.PLANNED for p in plans):
         if not config.yes:
-            print(report.sync_text(plans), file=out)
+            print(report.sync_text(plans), report.confirm_text(plans, config.allow_structure_truncate), sep="\n", file=out)
         shown = [decide.Plan(p.mode) for p in plans]
         if decide.needs_confirmation(shown, config.yes, None if config.yes else ask("Apply? [y/N] ")):
             return 2

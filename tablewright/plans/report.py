@@ -81,3 +81,25 @@ def sync_text(plans: list[TableSync]) -> str:
         lines.append(f"{p.mode:<8} {p.name}: {p.inserts} inserts, {p.updates} updates, {p.deletes} deletes, {p.status}" + f" ({p.error})" * bool(p.error))
         lines += [f"  {s}" for s in [*p.schema_sql, *p.state_sql, *sample_sql(p)]]
     return "\n".join(lines)
+
+
+#: What a plan does to a table, by its mode.
+WORK = {"FULL": "truncated and reloaded", "ROWLEVEL": "changed row by row", "CREATE": "created", "DROP": "dropped", "STATE": "counter raised"}
+
+
+def confirm_text(plans: list[TableSync], allow_structure_truncate: bool = False) -> str:
+    """What there is to confirm: tables by what is done to them, then by themselves whatever can't be undone."""
+    works = [p for p in plans if p.mode in WORK and not (p.mode == "STATE" and not p.state_sql)]
+    lines = [f"{len(works)} of {len(plans)} tables would be changed; {sum(p.status == 'FAILED' for p in plans)} failed"]
+    for mode, work in WORK.items():
+        names = [p.name + " (structure first)" * bool(p.schema_sql and mode in ("FULL", "ROWLEVEL")) for p in works if p.mode == mode]
+        lines += [f"  {work}: {', '.join(names)}"] * bool(names)
+    lines += [f"  {p.name}: {p.state_note}" for p in plans if p.state_note]
+    destructive = [s for p in plans for s in p.schema_sql if structure.destructive(s)]
+    emptied = [p.name for p in plans if p.scope.deletes_source_empty]
+    rewritten = [f"{p.name} ({len(p.scope.rewrites)} groups)" for p in plans if p.scope.rewrites]
+    for what, listed in (("statements that can't be undone", destructive), ("emptied, as the source is empty", emptied), ("rows deleted and inserted again to free unique values", rewritten)):
+        lines += [f"DESTRUCTIVE, {what}:", *[f"  {x}" for x in listed]] if listed else []
+    if allow_structure_truncate:
+        lines.append("a table whose structure can't be changed in place may be truncated")
+    return "\n".join(lines)

@@ -25,6 +25,10 @@ from . import decide, schema as schemas, structure
 from .schema import PlanError, TableSchema
 
 
+#: Rewritten groups that a plan names each by its fingerprint; with more, the plan is a reload.
+MOST_REWRITES = 100_000
+
+
 @dataclass(frozen=True)
 class SyncOptions:
     spec: diff.Spec = diff.Spec()
@@ -150,7 +154,11 @@ def _plan_row_level(src: DataFrame, dst: DataFrame, a: TableSchema, b: TableSche
             if not options.allow_row_rewrite:
                 raise PlanError(f"{n['rewrite']} values of ({', '.join(columns)}) change places: rows would have to be rewritten, which is not allowed")
             prints = verdicts.where("verdict = 'rewrite'").select("chunk_id", F.to_json(F.struct("key")).cast("binary").alias("key_bytes"))
-            rewrites |= {r["fingerprint"] for r in ops.rewrite_fingerprint(prints, columns).select("fingerprint").collect()}  # one a chunk
+            found = ops.rewrite_fingerprint(prints, columns).select("fingerprint").limit(MOST_REWRITES + 1).collect()  # bounded
+            rewrites |= {r["fingerprint"] for r in found}
+            if len(rewrites) > MOST_REWRITES:  # too many to confirm one by one: the table as a whole is
+                out.mode, out.inserts, out.updates, out.deletes, out.scope = decide.FULL, out.src_rows, 0, out.dst_rows, decide.Scope(full=True)
+                return
     out.scope = decide.Scope(rewrites=frozenset(rewrites), deletes_source_empty=empty)
     out.sample = ops.sample(out.changes, [F.coalesce("address", F.struct(*[F.col(f"row.`{k}`").alias(k) for k in key]))], options.sample_limit)
 

@@ -222,3 +222,13 @@ def test_a_change_keeps_the_files_it_does_not_touch(spark, tmp_path):
     assert {r["id"]: (r["v"], r["seen"]) for r in dst.read("t").collect()} == found
     assert len([f for f in dst.files.names(f"{dst.root}/t/v=1") if f.endswith(".parquet")]) == 9
     assert sync.plan_sync(src, dst, options=options)[0].mode == "SKIP"
+
+
+def test_confirmation_says_what_cannot_be_undone(sides):
+    src, dst = sides
+    plans = sync.plan_sync(src, dst)
+    text = report.confirm_text(plans, allow_structure_truncate=True)
+    assert "3 of 3 tables would be changed; 0 failed" in text and "DROP TABLE `only_dst`" in text.split("DESTRUCTIVE")[1]
+    assert "changed row by row: t" in text and "created: only_src" in text and "may be truncated" in text
+    plans[0].scope = decide.Scope(rewrites=frozenset({"x", "y"}), deletes_source_empty=True)
+    assert "(2 groups)" in report.confirm_text(plans) and "source is empty" in report.confirm_text(plans)
