@@ -13,9 +13,12 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import families as fam
 from ..operators import changes as ops
 from ..plans import structure
 from ..plans.schema import Column, Index, PlanError, TableSchema, select_key
@@ -34,6 +37,23 @@ def raw_type(name: str, size: int | None, digits: int | None) -> str:
     return f"{plain}({size},{digits or 0})" if plain in ("decimal", "numeric") else plain
 
 
+def bound(rows: DataFrame, schema: TableSchema, named: list[tuple[str, str]]) -> DataFrame:
+    """``rows`` with values as a database takes them for its columns; ``named`` says which column each is for. Bit
+    strings are numbers, unsigned numbers past a signed 64-bit one keep all digits as decimals, texts kept as bytes are
+    texts, and all others travel as they are."""
+
+    def value(name: str, of: str) -> SparkColumn:
+        family, kind, c = schema.column(of).family, rows.schema[name].dataType, F.col(f"`{name}`")
+        if family == fam.BIT and isinstance(kind, T.BinaryType):
+            return F.conv(F.hex(c), 16, 10).cast("decimal(20,0)").alias(name)
+        if family == fam.UINT and not isinstance(kind, T.IntegralType):
+            return c.cast("decimal(20,0)").alias(name)
+        return c.cast("string").alias(name) if family in (fam.STR, fam.ENUM, fam.SET, fam.JSON) and isinstance(kind, T.BinaryType) else c
+
+    targets = dict(named)
+    return rows.select(*[value(n, targets[n]) if n in targets else F.col(f"`{n}`") for n in rows.columns])
+
+
 @dataclass
 class JdbcSide:
     """One database, opened for reading."""
@@ -180,7 +200,7 @@ class JdbcWriter:
         listed = ", ".join(map(self.side.quoted, written))
         own = [f"c{i}" for i in range(len(written))]
         plain = rows.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(written, own)])
-        with self._staged(plain) as stage:
+        with self._staged(bound(plain, known, list(zip(own, written)))) as stage:
             held = ", ".join(self._value("s", c, known, n) for c, n in zip(own, written))
             self.run(f"DELETE FROM {name}", f"INSERT INTO {name} ({listed}) SELECT {held} FROM {stage} s")
 
@@ -215,7 +235,7 @@ class JdbcWriter:
         if most is None:
             return 0
         name, n = q(table), int(most) + 1
-        with self._staged(rows) as stage:
+        with self._staged(bound(rows, known, [*zip(at, key), *zip(own, names)])) as stage:
             same = " AND ".join(f"({name}.{q(k)} = {self._value('s', a, known, k)} OR {name}.{q(k)} IS NULL AND s.{q(a)} IS NULL)" for k, a in zip(key, at))
             for b in range(n):
                 of = lambda op: f"FROM {stage} s WHERE s.{q('batch')} = {b} AND s.{q('op')} = {op}"  # noqa: B023, E731

@@ -1,5 +1,6 @@
 import io
 import uuid
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,14 @@ def test_batches_of_changes(sides, spark):
     plan = sync.plan_table(src, dst, "t")
     assert JdbcWriter(dst, True).apply_changes("t", plan.changes, ["id"], 1) == 4
     assert JdbcWriter(dst, True).apply_changes("t", plan.changes.limit(0), ["id"], 1) == 0
+
+
+def test_values_as_a_database_takes_them(spark):
+    from tablewright.plans.schema import Column, TableSchema
+    from tablewright.sources.jdbc import bound
+
+    rows = spark.createDataFrame([(bytearray(b"\x01\x02"), Decimal(2**64 - 1), bytearray("é".encode()), bytearray(b"\xff")), (None, None, None, None)], "c0 binary, c1 decimal(20,0), c2 binary, c3 binary")
+    known = TableSchema("t", (Column("b", "bit(16)"), Column("u", "bigint unsigned"), Column("s", "varchar(9)"), Column("raw", "varbinary(9)")))
+    made = bound(rows, known, [("c0", "b"), ("c1", "u"), ("c2", "s"), ("c3", "raw")])
+    assert made.dtypes == [("c0", "decimal(20,0)"), ("c1", "decimal(20,0)"), ("c2", "string"), ("c3", "binary")]
+    assert [tuple(r) for r in made.collect()] == [(258, 2**64 - 1, "é", bytearray(b"\xff")), (None,) * 4]
