@@ -42,6 +42,19 @@ def boxed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *[docs[c] for c in columns])
 
 
+_TOOLS: dict[str, object] = {}
+
+
+def worker_tool(name: str, make: Callable[[], object]) -> object:
+    """The large tool (a model, an index, a memo) that a worker process holds. There is one at a time: workers live
+    on from stage to stage, and the next stage's tool takes the place of the last one's."""
+    if name not in _TOOLS:
+        _TOOLS.clear()
+        pa.default_memory_pool().release_unused()
+        _TOOLS[name] = make()
+    return _TOOLS[name]
+
+
 def added(docs: DataFrame, columns: str, start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
     """``docs`` with more ``columns`` (a DDL string), which replace those of the same names. ``start`` is called
     once a task; what it returns makes the columns of a batch of whole rows."""

@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_values, filtered, grouped, settle, words_of
+from .common import column_values, filtered, grouped, settle, words_of, worker_tool
 from .near_dup import mix, word_hashes
 
 MOST_EDITS = 0.1
@@ -255,15 +255,9 @@ def blocks(items: DataFrame) -> Iterator[list[tuple]]:
     yield block
 
 
-_INDEXES: dict[str, Items] = {}
-
-
 def _index(name: str, shared: Broadcast) -> Items:
     """One index a worker process."""
-    if name not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[name] = Items(shared.value)
-    return _INDEXES[name]
+    return worker_tool(name, lambda: Items(shared.value))
 
 
 def _search(spark: SparkSession, docs: DataFrame, block: list[tuple]) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, column_values, discard, settle, words_of
+from .common import boxed, column_values, discard, settle, words_of, worker_tool
 from .components import merged
 
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -75,11 +75,8 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
-
-
 def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), dtype=_U, count=len(words))
+    return np.fromiter(map(worker_tool("word hashes", _Hashes).__getitem__, words), dtype=_U, count=len(words))
 
 
 def shingle_hashes(hashes: np.ndarray) -> np.ndarray:

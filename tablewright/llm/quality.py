@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import added, grouped
+from .common import added, grouped, worker_tool
 from .tokens import tokenizer_path
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -151,14 +151,9 @@ def within(text: str, chars: float, share: float, entropy: float, bands: dict[st
     return band.low <= chars <= band.high and share <= band.bytes_share and entropy >= band.entropy
 
 
-_MODELS: dict[str, Fertility] = {}
-
-
 def _model(path: str) -> Fertility:
     """One model a worker process."""
-    if path not in _MODELS:
-        _MODELS[path] = Fertility(path)
-    return _MODELS[path]
+    return worker_tool(path, lambda: Fertility(path))
 
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, byte_share double, entropy_share double"

@@ -15,6 +15,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from .common import worker_tool
+
 END_ID = 2
 MOST_KEPT = 350_000
 #: The pre-token pattern of the byte-level vocabularies, for texts without other characters than PLAIN's.
@@ -128,11 +130,6 @@ class Encoder:
             yield np.append(ids, np.uint32(END_ID))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder a worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return worker_tool(path, lambda: Encoder(path))

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import added, column_values, filtered, words_of
+from .common import added, column_values, filtered, words_of, worker_tool
 from .near_dup import mix
 
 WINDOW, STRIDE = 24, 12
@@ -364,15 +364,9 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
     return pickle.loads(made[0]["model"]) if made else None
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(name: str, shared: Broadcast) -> Scorer:
     """One scorer a worker process: a module's function finds the module's own cache in every task."""
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(shared.value)
-    return _SCORERS[name]
+    return worker_tool(name, lambda: Scorer(shared.value))
 
 
 def _scored(scorer: Scorer, batch: pa.RecordBatch) -> np.ndarray:
