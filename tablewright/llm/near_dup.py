@@ -313,13 +313,13 @@ def labels_of(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
 
     labels = None
     for low, high in PHASES:
-        pairs = settle(state.where((F.col("band") >= low) & (F.col("band") < high)).select("p", "x").distinct(), "pairs")
+        pairs = state.where((F.col("band") >= low) & (F.col("band") < high)).select("p", "x").distinct()
         apart = settle(_labelled(_labelled(pairs, labels, "x", "x_comp"), labels, "p", "p_comp").where("x_comp != p_comp").select("p", "x"), "apart")
         if not apart.isEmpty():
             done = compared(apart, texts)
             labels = merged(labels, _links(done))
             discard(done)
-        discard(pairs, apart)
+        discard(apart)
     whole = settle(_labelled(state.select("b", "p", "n", "x").unionByName(first.select("b", "p", "n", F.col("p").alias("x"))), labels, "x", "comp"), "whole")
     spans = settle(whole.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("b"), "spans")
     large = settle(whole.where(F.col("n") > LARGE).join(spans, "b"), "large")
@@ -352,34 +352,34 @@ def labels_of(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
         state, pivots = rest, pivots * 4
 
 
-def members_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, mark, comp) of every row, and (comp, doc_id, mark, class_id) of every class: its least row, ids
-    before rows without one, and its name."""
+def members_and_least(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, comp) of every row, and (comp, doc_id, mark) of every class's least row, ids before rows
+    without one."""
     docs = docs.select("doc_id", "text")
     rows = signed(docs)
     labels = labels_of(docs, rows)
     named = settle(_labelled(rows.select("doc_id", "mark", "node"), labels, "node", "comp").select("doc_id", "mark", "comp"), "named")
     discard(rows, labels)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("least")
-    found = settle(named.groupBy("comp").agg(least).select("comp", "least.doc_id", "least.mark"), "least")
-    owner = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("mark").alias("owner"))
-    other = F.bitwise_not(F.shiftrightunsigned(F.xxhash64("doc_id", "mark"), 1))  # below 0
-    name = F.when(F.col("owner") == F.col("mark"), F.col("doc_id")).otherwise(other)
-    return named, settle(found.join(owner, "doc_id", "left").select("comp", "doc_id", "mark", name.alias("class_id")), "classes")
+    return named, settle(named.groupBy("comp").agg(least).select("comp", "least.doc_id", "least.mark"), "least")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) of every row."""
-    named, classes = members_and_classes(docs)
-    return named.join(classes.select("comp", "class_id"), "comp").select("doc_id", "class_id")
+    named, found = members_and_least(docs)
+    owner = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("mark").alias("owner"))
+    other = F.bitwise_not(F.shiftrightunsigned(F.xxhash64("doc_id", "mark"), 1))  # below 0
+    name = F.when(F.col("owner") == F.col("mark"), F.col("doc_id")).otherwise(other)
+    classes = settle(found.join(owner, "doc_id", "left").select("comp", name.alias("class_id")), "classes")
+    return named.join(classes, "comp").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that of its least doc_id and, among rows that share it, of the
     least text mark; of repeated rows one stays. In a class without any doc_id the least mark decides."""
-    named, classes = members_and_classes(docs)
+    named, found = members_and_least(docs)
     held = named.groupBy("doc_id", "mark").agg(F.count("*").alias("copies"))
-    best = classes.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"))
+    best = found.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"))
     best = best.join(held, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark"))).select("d", "m", "copies")
     best = settle(best, "best")
     rows = boxed(docs, "doc_id", "text").select("row", "doc_id", text_mark("text").alias("mark"))
