@@ -49,10 +49,10 @@ def _sides(spark: SparkSession, name: str, src: DataFrame, dst: DataFrame, known
 
 
 def row_level_sync(spark: SparkSession, sf_dir: str) -> tuple[Side, Side, str]:
-    """Orders, of which the destination lacks half."""
-    src = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    known = with_indexes(schemas.introspect(src, "orders"), PRIMARY=("o_orderkey",))
-    return (*_sides(spark, "orders", src, src.where("o_orderkey % 2 = 0"), known), "orders")
+    """Lineitem by its key, of which the destination lacks half."""
+    src = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    known = with_indexes(schemas.introspect(src, "lineitem"), PRIMARY=("l_orderkey", "l_linenumber"))
+    return (*_sides(spark, "lineitem", src, src.where("l_orderkey % 2 = 0"), known), "lineitem")
 
 
 def full_reload(spark: SparkSession, sf_dir: str) -> tuple[Side, Side, str]:
@@ -94,24 +94,24 @@ def main() -> None:
         rows = work(spark, sf_dir)
         times[name] = round(time.time() - began, 3)
         rates[f"{name}_rows_per_sec"] = round(rows / times[name])
-    for name, made in (("sync_rowlevel", row_level_sync), ("sync_full", full_reload)):
+    for name in HEADLINE:
         best = None
         for _ in range(2):
-            sides = made(spark, sf_dir)
             began = time.time()
-            rows = synced(*sides)
+            run(queries[name](spark, sf_dir))
             took = time.time() - began
             best = took if best is None else min(best, took)
         times[name] = round(best, 3)
-        rates[f"{name}_rows_per_sec"] = round(rows / best)
-    for name in HEADLINE:
+    for name, made in (("sync_rowlevel", row_level_sync), ("sync_full", full_reload)):
         best = None
         for _ in range(2):
+            sides = made(spark, sf_dir)
             began = time.time()
-            run(queries[name](spark, sf_dir))
+            rows = synced(*sides)
             took = time.time() - began
             best = took if best is None else min(best, took)
         times[name] = round(best, 3)
+        rates[f"{name}_rows_per_sec"] = round(rows / best)
     print(json.dumps({"metric": "reconciliation_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, **rates, "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 

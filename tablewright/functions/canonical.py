@@ -304,13 +304,25 @@ def canonical_row(columns: Sequence[tuple[Column, fam.TypeInfo, T.DataType]], op
     return F.concat(F.lit(b""), *[tlv(c, info, kind, options) for c, info, kind in columns])
 
 
+def null_marks(values: Sequence[Column]) -> list[Column]:
+    """Which values are null, as bits of one long for every 60 values: a hash passes over nulls."""
+    out = []
+    for at in range(0, len(values), 60):
+        bits = [F.when(v.isNull(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, v in enumerate(values[at : at + 60])]
+        total = bits[0]
+        for b in bits[1:]:
+            total = total + b
+        out.append(total)
+    return out
+
+
 def payload_hash(payloads: Sequence[tuple[Column, str]], kind: str = "xxhash64", options: Options = Options()) -> Column:
     """A 64-bit hash of a canonical row as a long, from payloads and their families. The fast one chains
-    tags, lengths and payloads without putting them together; the other is the first half of the MD5 of
-    the row's bytes."""
+    the row's tags, which payloads are null, and the payloads, each hashed with its length, without putting them
+    together; the other is the first half of the MD5 of the row's bytes."""
     if kind == "xxhash64":
-        parts = [x for body, family in payloads for x in (F.when(body.isNull(), F.lit(fam.NULL_TAG)).otherwise(F.lit(tag(family, options))), F.coalesce(F.octet_length(body), F.lit(-1)), body)]
-        return F.xxhash64(*parts)
+        tags = F.lit(bytes(tag(family, options) for _, family in payloads))
+        return F.xxhash64(tags, *null_marks([body for body, _ in payloads]), *[body for body, _ in payloads])
     if kind != "md5":
         raise ValueError(f"no such hash: {kind}")
     digest = F.md5(F.concat(F.lit(b""), *[framed(body, family, options) for body, family in payloads]))

@@ -126,7 +126,7 @@ def multiset_diff(src: DataFrame, dst: DataFrame, src_schema: TableSchema, dst_s
     def marked(df: DataFrame, schema: TableSchema, flag: int) -> DataFrame:
         ready, at = staged(df, schema, options)
         payloads = [F.col(c) for c, _ in at.values()]
-        marks = [F.xxhash64(F.lit(k), *[x for p in payloads for x in (F.coalesce(F.octet_length(p), F.lit(-1)), p)]).alias(f"h{k}") for k in (1, 2)]
+        marks = [F.xxhash64(F.lit(k), *canonical.null_marks(payloads), *payloads).alias(f"h{k}") for k in (1, 2)]
         return ready.select(*payloads, *marks, F.lit(1 - flag).cast("long").alias("s"), F.lit(flag).cast("long").alias("d"))
 
     both = marked(src, src_schema, 0).unionByName(marked(dst, dst_schema, 1))
