@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import canonical
 from ..plans.schema import TableSchema
@@ -151,10 +152,12 @@ def ranked_chunk_id(df: DataFrame, key: list[str], bounds: DataFrame) -> DataFra
     if chunks <= 1:
         return df.withColumn("chunk_id", F.lit(0).cast("long"))
     width = math.isqrt(chunks - 1) + 1
-    above = lambda uppers: F.size(F.filter(uppers, lambda u: u < key_struct(key)))
+    # bounds below a key: its first place among them. No lambda may name a key's column: Spark takes a column with the id of
+    # a lambda's variable for that variable and infers a filter on the other side of a join, where there is no such column
+    above = lambda uppers: F.array_position(F.sort_array(F.array_append(uppers, key_struct(key))), key_struct(key)).cast("int") - 1
     last = bounds.where((F.col("chunk_id") % width == width - 1) & (F.col("chunk_id") < chunks - 1))  # keys above the last bound belong to the last chunk
     tops = [r["hi"] for r in last.orderBy("chunk_id").select("hi").collect()]  # the root of the chunks' number
-    top = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(key, u)]) for u in tops])
+    top = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(key, u)]) for u in tops]).cast(ArrayType(bounds.schema["hi"].dataType))
     groups = bounds.groupBy(F.floor(F.col("chunk_id") / F.lit(width)).cast("int").alias("__group")).agg(F.array_sort(F.collect_list("hi")).alias("__his"), F.min("chunk_id").alias("__first"))
     if chunks <= BROADCAST_BOUNDS:
         groups = F.broadcast(groups)

@@ -1,4 +1,7 @@
+import ast
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -42,3 +45,29 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["chunk_id", "src_n", "dst_n", "src_digest", "dst_digest"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+FIRST = """
+import sys
+from pyspark.sql import SparkSession
+from tablewright import queries
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+print(sorted(tuple(r) for r in queries.queries()["chunk_rows_ranked"](spark, sys.argv[1]).collect()))
+"""
+
+
+def customers(folder, name):
+    """Writes 1,500 customers; the rows that the SQL of chunk_rows_ranked has of them."""
+    path = f"{folder}/customer.parquet"
+    duckdb.sql(f"COPY (SELECT i AS c_custkey, {name} AS c_name FROM range(1500) t(i)) TO '{path}'")
+    made = duckdb.connect()
+    made.sql(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{path}')")
+    return sorted(made.sql(SQL["chunk_rows_ranked"]).fetchall())
+
+
+def test_ranked_chunks_as_the_first_query_of_a_session(tmp_path):
+    """Columns have the ids from 0 then, as the variables of lambdas have them."""
+    wanted = customers(tmp_path, "'Customer#' || lpad(CAST(i AS VARCHAR), 9, '0')")
+    run = subprocess.run([sys.executable, "-c", FIRST, str(tmp_path)], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert ast.literal_eval(run.stdout.splitlines()[-1]) == wanted
