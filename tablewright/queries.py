@@ -250,9 +250,9 @@ def chunk_plan_rank(spark, d):
 @query("""WITH placed AS (SELECT c_name, (row_number() OVER (ORDER BY c_name) - 1) // 200 AS chunk_id FROM customer)
 SELECT chunk_id, count(*) AS n FROM placed GROUP BY 1""")
 def chunk_rows_ranked(spark, d):
-    src = table(spark, d, "customer")
-    bounds = fixed(chunking.plan_ranked(src, ["c_name"], 200))
-    return chunking.ranked_chunk_id(src, ["c_name"], bounds).groupBy("chunk_id").agg(F.count("*").alias("n"))
+    src, key = table(spark, d, "customer"), ["c_name", "c_custkey"]  # customers of one name have ranks of their own
+    bounds = fixed(chunking.plan_ranked(src, key, 200))
+    return chunking.ranked_chunk_id(src, key, bounds).groupBy("chunk_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders")

@@ -50,9 +50,11 @@ def test_entry(spark):
 FIRST = """
 import sys
 from pyspark.sql import SparkSession
-from tablewright import queries
+from tablewright.operators import chunking
 spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
-print(sorted(tuple(r) for r in queries.queries()["chunk_rows_ranked"](spark, sys.argv[1]).collect()))
+src = spark.read.parquet(sys.argv[1])
+placed = chunking.ranked_chunk_id(src, ["c_name"], chunking.plan_ranked(src, ["c_name"], 200))
+print(sorted(tuple(r) for r in placed.groupBy("chunk_id").count().collect()))
 """
 
 
@@ -68,6 +70,13 @@ def customers(folder, name):
 def test_ranked_chunks_as_the_first_query_of_a_session(tmp_path):
     """Columns have the ids from 0 then, as the variables of lambdas have them."""
     wanted = customers(tmp_path, "'Customer#' || lpad(CAST(i AS VARCHAR), 9, '0')")
-    run = subprocess.run([sys.executable, "-c", FIRST, str(tmp_path)], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    run = subprocess.run([sys.executable, "-c", FIRST, f"{tmp_path}/customer.parquet"], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert run.returncode == 0, run.stderr[-2000:]
     assert ast.literal_eval(run.stdout.splitlines()[-1]) == wanted
+
+
+@pytest.mark.parametrize("name", ["'Customer#' || i % 100", "CASE WHEN i % 3 = 0 THEN 'Customer#' || i % 7 END", "CAST(NULL AS VARCHAR)"])
+def test_ranked_chunks_of_repeated_and_missing_names(spark, tmp_path, name):
+    wanted = customers(tmp_path, name)
+    assert len(wanted) == 8
+    assert sorted(tuple(r) for r in QUERIES["chunk_rows_ranked"](spark, str(tmp_path)).collect()) == wanted
